@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import crf, minhash, mixing, packing, pii, toxicity
+from . import ann, crf, minhash, mixing, packing, pii, pivots, secrets, suffixes, toxicity
 
 #: Production parameters of the queries.
 WEIGHTS = {"domain": {"d0": 2, "d1": 3, "d2": 2, "d3": 3}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}
@@ -27,6 +28,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, PART, EPOCHS, SEED).select("doc_id", "lang", "source", "epoch")
 
 
+def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, num=80, den=100)
 
 
+def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return crf.score(documents, crf.learn(documents, table(spark, sf_dir, "labels")))
@@ -49,8 +58,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"), 400)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_pii, op4_toxicity, op5_minhash, op7_quality, op8_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_adaptive_scan, op3_pii, op4_toxicity, op5_minhash, op6_pivots, op7_quality, op8_packing, op9_suffixes, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
