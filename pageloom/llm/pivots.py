@@ -17,6 +17,7 @@ from .vectors import matrix, sample, usable
 NEAREST, SHARED = 8, 3
 #: Pivots are drawn from a sample of at most so many distinct vectors.
 SAMPLE = 4096
+APART = 0.8
 #: Vectors of one block, which is compared as a whole with others.
 BLOCK = 512
 
@@ -26,6 +27,17 @@ def pivots_for(vectors: int) -> int:
     return int(min(SAMPLE, max(64, 4 * vectors**0.5)))
 
 
+def spread(x: np.ndarray, most: int) -> np.ndarray:
+    """The first rows of x, at most `most`, no two with a cosine above APART: pivots within one group of near copies
+    would order its members by chance."""
+    chosen = np.zeros((0, x.shape[1]))
+    for at in range(0, len(x), 64):
+        for row in x[at : at + 64][(x[at : at + 64] @ chosen.T <= APART).all(1)] if len(chosen) else x[at : at + 64]:
+            if len(chosen) < most and (not len(chosen) or (chosen @ row).max() <= APART):
+                chosen = np.concatenate((chosen, row[None]))
+    return chosen
+
+
 def described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """Adds `near`: a vector's nearest pivots of its own length, nearest first. pivots: unit rows by length."""
 
@@ -79,8 +91,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, vector: str = "embeddin
     n = classes.count()
     pivots = {}
     for length in {len(x) for x in some}:
-        own = [x for x in some if len(x) == length][: pivots_for(n)]
-        pivots[length // 8] = _unit(np.frombuffer(b"".join(own), np.float64).reshape(len(own), -1))
+        own = [x for x in some if len(x) == length]
+        pivots[length // 8] = spread(_unit(np.frombuffer(b"".join(own), np.float64).reshape(len(own), -1)), pivots_for(n))
     described_ = keep(described(classes, pivots), "described")
     lists = described_.select("id", "label", F.octet_length("vector").alias("bytes"), F.explode("near").alias("pivot"))
     sizes = lists.groupBy("label", "bytes", "pivot").agg(F.count("*").alias("members"))
