@@ -16,20 +16,53 @@ from .common import SPACES, batches, keep, text_of
 CAPACITY = 2048
 END = np.uint32(0).tobytes()
 #: Words whose ids a worker remembers; the table starts anew when full.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+
+
+#: Marks that may end a word, as one piece of its own.
+MARKS = ".,;:!?"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for a character's UTF-8 bytes in a byte-level vocabulary, for characters below U+0250."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+    return {c: "".join(letter[x] for x in chr(c).encode()) for c in range(0x250)}
 
 
 class Ids(dict):
-    """A run of non-blank characters to its ids, as bytes. The tokenizer drops white space and never matches across it."""
+    """A run of non-blank characters to its ids, as bytes. The tokenizer drops white space and never matches across it.
+
+    A word of letters below U+0250, marks at its end aside, goes straight to the vocabulary's merges: normalising it is
+    lowering it, and it is one piece. Everything else takes the tokenizer's whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.letters = self.tokenizer.model, byte_letters()
+
+    def piece(self, text: str) -> bytes:
+        return np.array([t.id for t in self.merges.tokenize(text.translate(self.letters))], np.uint32).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        core = word.rstrip(MARKS)
+        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+            low = core.lower()
+            if low == word:
+                ids = self.piece(word)
+            else:
+                ids = self[low]
+                if len(core) < len(word):
+                    tail = word[len(core) :]
+                    ids += self.piece(tail) if len(tail) > 8 else self[tail]
+        elif not core and len(word) <= 8:
+            ids = self.piece(word)
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
         if len(self) >= REMEMBERED:
             self.clear()
         if len(word) <= 64:
