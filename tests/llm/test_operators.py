@@ -1,0 +1,434 @@
+"""Each operator against plain loops on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pageloom.llm import ann, boosting, crf, minhash, mixing, packing, pii, pivots, secrets, suffixes, toxicity
+from pageloom.llm.common import keep, words_of
+from pageloom.llm.components import components
+from pageloom.llm.queries import tokenizer
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n string, raw string, key string, task string, epoch string"
+R = random.Random(8)
+VOCAB = ["".join(R.choice("abcdefgh") for _ in range(R.randint(2, 7))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) for _ in range(n))
+
+
+def texts():
+    base, passage = prose(120, 1), prose(90, 2)
+    out = [(i, prose(30 + i, 10 + i)) for i in range(12)]
+    out += [(20, base), (21, base), (22, base.replace(" ", "  ")), (23, base + " tail"), (24, "head " + base + " tail end"), (25, base.upper())]
+    out += [(30, prose(20, 3) + "\n" + passage + "\n" + prose(20, 4)), (31, prose(25, 5) + "\n" + passage + "\n" + prose(9, 6)), (32, passage[5:-5])]
+    out += [(40, None), (41, ""), (42, "   \n\t "), (43, "one two"), (44, "one two"), (45, "one"), (46, "ab" * 900), (47, "x" * 3000), (48, prose(20000, 7)), (49, "é" * 500 + " ünï"), (50, base), (50, base)]
+    out += [(None, "no id here"), (None, base), (None, None)]
+    return out
+
+
+ROWS = texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "de", None][k % 3], ["src0", "src1", "src2", None][k % 4], None if t is None else len(t), 0.1, "n", "r", "k", "t", "e") for k, (i, t) in enumerate(ROWS)]
+    return keep(spark.createDataFrame(rows, SCHEMA).repartition(3))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
+    got = {r["id"]: r["root"] for r in components(links).collect()}
+    assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 100}
+    assert components(links.where("a < 0")).isEmpty()
+
+
+def test_near_duplicates(docs, none):
+    shingles = {}
+    for i, t in ROWS:
+        w = words_of(t or "")
+        shingles.setdefault(i, set()).update(tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3)) if w)
+    ids = sorted(k for k in shingles if k is not None)
+    root = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            x, y = shingles[a], shingles[b]
+            if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                ra, rb = root[a], root[b]
+                for k, v in root.items():
+                    if v in (ra, rb):
+                        root[k] = min(ra, rb)
+    got = minhash.near_duplicates(docs, 4, 80, 100).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"] is False
+        else:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(shingles[r["doc_id"]]), root[r["doc_id"]], root[r["doc_id"]] == r["doc_id"])
+    assert root[22] == root[21] == root[25] == root[24] == 20 and root[44] == 43
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_within_open_groups(spark):
+    """A chain in which neighbours are near and ends aren't, and copies that are just too far from their hub."""
+    base = prose(200, 50).split()
+    rows = []
+    for i in range(12):
+        w = list(base)
+        for j in range(i * 6):
+            w[(j * 31) % 200] = f"new{j}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(197)} for i, t in rows}
+    root = {i: i for i, _ in rows}
+    for _ in range(12):
+        for a in root:
+            for b in root:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == root and len(set(root.values())) < 12
+
+
+def test_same_id_with_other_texts(spark):
+    rows = spark.createDataFrame([(1, prose(50, 1)), (1, prose(50, 2)), (2, prose(50, 3))], "doc_id long, text string")
+    got = minhash.near_duplicates(rows).collect()
+    assert len(got) == 3 and {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 2)}
+
+
+def test_estimates_are_unbiased():
+    r = np.random.default_rng(3)
+    errors = []
+    for j in (0.3, 0.6, 0.8, 0.95):
+        for _ in range(40):
+            u = r.integers(0, 1 << 63, 2000, np.uint64)
+            both = int(len(u) * j)
+            rest = u[both:]
+            a, b = np.unique(np.concatenate((u[:both], rest[::2]))), np.unique(np.concatenate((u[:both], rest[1::2])))
+            e = minhash.estimate(minhash.registers(a)[None], minhash.registers(b)[None], np.array([len(a)], float), np.array([len(b)], float))[0]
+            errors.append(e - j)
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.045
+    x, y = np.arange(1, 50, dtype=np.uint64), np.arange(40, 90, dtype=np.uint64)
+    assert (np.maximum(minhash.registers(x), minhash.registers(y)) == minhash.registers(np.union1d(x, y))).all()
+
+
+def test_repeats(docs, none):
+    size = 60
+    raw = [(i, (t or "").encode()) for i, t in ROWS]
+    seen = collections.Counter(x[s : s + size] for _, x in raw for s in range(len(x) - size + 1))
+    want = collections.Counter()
+    for i, x in raw:
+        mark = bytearray(len(x))
+        for s in range(len(x) - size + 1):
+            if seen[x[s : s + size]] > 1:
+                mark[s : s + size] = b"\1" * size
+        kept = bytes(c for c, m in zip(x, mark, strict=True) if not m)
+        spans = sum(1 for k in range(len(mark)) if mark[k] and (k == 0 or not mark[k - 1]))
+        want[(i, len(x), sum(mark), spans, hashlib.sha256(kept).hexdigest())] += 1
+    got = collections.Counter(tuple(r) for r in suffixes.repeats(docs, size).collect())
+    assert got == want
+    assert suffixes.repeats(none, size).count() == 0
+
+
+def test_merge_is_sorted_and_knows_prefixes():
+    r = random.Random(1)
+    records = [("".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode(), b"", i, i) for i in range(300)]
+    parts = [sorted(records[i::7]) for i in range(7)] + [[]]
+    got = list(suffixes.merge([suffixes.encode_run(p) for p in parts]))
+    assert [g[0] for g in got] == sorted(x[0] for x in records)
+    for a, b in zip(got, got[1:], strict=False):
+        k = 0
+        while k < min(len(a[0]), len(b[0])) and a[0][k] == b[0][k]:
+            k += 1
+        assert b[1] == k
+    assert sorted(g[3] for g in got) == list(range(300))
+
+
+def test_reach_by_table_and_by_classes_agree(monkeypatch):
+    r = random.Random(2)
+    flank = 12
+    pairs = sorted({("".join(r.choice("ab") for _ in range(r.randint(4, flank))).encode(), "".join(r.choice("ab") for _ in range(r.randint(4, flank))).encode()) for _ in range(60)})
+    right, left = [p[0] for p in pairs], [p[1] for p in pairs]
+    copies = np.array([1 + (i % 9 == 0) for i in range(len(pairs))])
+    shared = suffixes._shared(right)
+    a = suffixes.reach(right, shared, left, copies, flank)
+    monkeypatch.setattr(suffixes, "TABLE", 2)
+    b = suffixes.reach(right, shared, left, copies, flank)
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer())
+    want = collections.Counter()
+    for i, x in ROWS:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[at : at + 2048], "<u4")
+            want[(i, k, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    got = packing.pack(docs, tokenizer()).collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == want
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(places) <= -(-sum(r["length"] for r in got) // 2048) + 1
+    assert packing.pack(none, tokenizer()).count() == 0
+
+
+def test_plan_fills_what_can_be_filled():
+    assert packing.plan({6: 1, 5: 2, 4: 1, 10: 1}, 10) == [(1, [10]), (1, [6, 4]), (1, [5, 5])]
+    assert packing.plan({}, 10) == []
+    assert sum(n for n, _ in packing.plan({3: 1000, 7: 1000}, 10)) == 1000
+    assert packing.fullest(9, {4: 3, 5: 1}) == [5, 4] and packing.fullest(3, {4: 1}) == []
+
+
+def test_words_and_tokens():
+    from tokenizers import Tokenizer
+
+    t, ids = Tokenizer.from_file(tokenizer()), packing.Ids(tokenizer())
+    for x in ("It's a b.c, d!! (E)", "Été ÀÉ ŒUVRE ª İx ŉ x́ ́y", "<|startoftext|>a <|endoftext|>", "漢字 한국어 ... ,,", "a b c"):
+        assert np.frombuffer(ids.of(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_mixing(spark, docs, none):
+    weights = {"domain": {"d0": 3}, "lang": {"en": 2}, "source": {"src1": 4}}
+    for part, epochs in (((1, 2), 2), ((3, 2), 2), ((5, 1), 2), ((0, 1), 1)):
+        got = collections.Counter((r["doc_id"], r["source"] or "", r["epoch"]) for r in mixing.mix(docs, weights, part, epochs, 5).select("doc_id", "source", "epoch").collect())
+        con = duckdb.connect()
+        con.register("documents", docs.select("doc_id", "text", "lang", "source").toArrow())
+        want = collections.Counter(con.execute(mixing.mix_sql(weights, part, epochs, 5, "doc_id, source, epoch")).fetchall())
+        assert got == want
+    out = mixing.mix(docs, weights, (1, 2), 2, 5)
+    assert set(docs.columns) == set(out.columns) and out.where("score <> 0.1").isEmpty()
+    assert mixing.mix(none, weights).count() == 0
+    assert mixing.mix(docs, {"domain": dict.fromkeys(("d0", "d1", "d2", "other"), 0)}, (1, 2)).count() == 0
+
+
+def test_shortages_go_to_siblings_first(spark):
+    leaves = spark.createDataFrame([("a", "x", "s", 10), ("a", "x", "t", 1000), ("a", "y", "s", 1000), ("b", "x", "s", 1000)], "domain string, lang string, source string, capacity long")
+    got = {tuple(r)[:3]: r["budget"] for r in mixing.budgets(leaves, F.lit(400).cast("long"), {}).collect()}
+    assert got == {("a", "x", "s"): 10, ("a", "x", "t"): 90, ("a", "y", "s"): 100, ("b", "x", "s"): 200}
+
+
+PII_BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+PII_OK = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")), "card": lambda m: 16 <= len(re.sub(r"\D", "", m)) <= 19 and luhn(re.sub(r"\D", "", m)), "phone": lambda m: 8 <= len(re.sub(r"\D", "", m)) <= 15}
+PII_TEXTS = [
+    "a@b.co_d@e.fr x@y x@y.z. .@a.b %@-.-", "1.2.3.4.5 256.1.1.1 1.1.1.1.1.1.1.1 0001.002.0255.4 1.2.3 1.2.3x4.5.6.7", "4041894974608795 4041-8949 7460 8795 40418949746087951234 4041  894974608795 1 2 3",
+    "+1 (988) 555-2485, +12 +1+1+1 +1234567 +123456789012345678 +1-2-3-4-5-6-7-8 )", "é +49 30 1234567 ü jo@ex.de 😀 10.0.0.1", "", None, "a" * 50000, "1" * 30000, "1." * 20000, "+1 " * 5000, "a@" * 8000, "-" * 3000 + "@x.y",
+    "4041 8949 7460 8795" + " 4041894974608795" * 3, "@@@ ... +++", "x@y.zz@w.vv", "mail me: bob (at) site dot com or call (555) 123-4567 now, ssn 123-45-6789; order no. 12.10.2024",
+]
+
+
+def test_pii_base(spark):
+    rows = spark.createDataFrame(list(enumerate(PII_TEXTS)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(rows).collect()}
+    for i, t in enumerate(PII_TEXTS):
+        found = {k: [(m.start(), m.end()) for m in re.finditer(p, t or "") if PII_OK[k](m[0])] for k, p in PII_BASE.items()}
+        base = [f"{k}:{a}:{b}" for k in PII_BASE for a, b in found[k]]
+        assert [got[i][f"n_{k}"] for k in PII_BASE] == [len(found[k]) for k in PII_BASE], t and t[:80]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(got[i]["spans"].split(",")) or not base
+    assert {x.split(":")[0] for x in got[16]["spans"].split(",")} >= {"email", "phone", "id"}
+
+
+def test_pii_redaction(docs, none):
+    out = pii.redact(docs.withColumn("text", F.when(F.col("doc_id") == 45, "mail a@b.co, card 4041894974608795 end").otherwise(F.col("text")))).collect()
+    assert len(out) == len(ROWS)
+    by = {r["doc_id"]: r for r in out}
+    assert by[45]["text"] == "mail [EMAIL], card [CARD] end" and by[45]["n_chars"] == len(by[45]["text"])
+    assert by[40]["text"] is None and by[20]["text"] == dict(ROWS)[20] and by[45]["raw"] == "r"
+    assert pii.redact(none).count() == pii.find(none).count() == 0
+
+
+def test_pii_model_holds_out():
+    x, y = np.random.default_rng(1).random((400, 3)), None
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = boosting.fit(x[:300], y[:300])
+    assert ((boosting.margin(trees, x[300:]) > 0) == y[300:]).mean() > 0.9
+
+
+def test_secrets(spark, none):
+    shared, own = "AKIA" + "Q7" * 8, "AKIA" + "ZX81MB4KLP92TR5V"
+    rows = [(1, f"key {shared} x", "en", "s1"), (2, f"{shared}", "en", "s2"), (3, f"{shared}", "de", "s3"), (4, f"token = \"{own.lower()}\" {own}", "en", "s1"), (5, None, None, None), (6, "", "en", None), (None, own, "en", "s1")]
+    rows += [(7, "PassWord: 'abc' secret=abcdefgh== api_key:12345678 apiKEY = short ſecret=abcdefgh", "en", "s9"), (8, "0123456789abcdef0123456789abcdef0 deadbeef" + "f" * 40000, "en", "s9"), (9, "ghp_" + "aB3dE5gH7jK9mN1pQ3sT", "en", "s9")]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        t = t or ""
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[1] == k for x in found) for k in range(3)]
+    assert (got[1]["n_example"], got[1]["n_live"]) == (1, 0) and got[None]["n_live"] == 1
+    assert got[9]["spans"] == "token:0:24"
+    assert secrets.scan(none).count() == 0
+
+
+def test_toxicity(spark, none):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, prose(30, i) + (f" {r.choice(['idiot', 'moron', 'scum'])}{r.choice(['s', '', '!'])}" if bad else "")))
+        labels.append((i, int(bad), 1))
+    rows += [(900, None), (901, ""), (None, "idiot"), (902, prose(5000, 1))]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1, 1), (901, None, 0), (1, 1, 1)], "doc_id long, toxic int, quality int")
+    machine = toxicity.learn(d, l)
+    got = {r["doc_id"]: r for r in toxicity.score(d, machine).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] for i in held) and len(got) == len(rows)
+    assert np.mean([(got[i]["predicted"] == 1) == (i % 4 == 0) for i in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[900]["score"] == got[901]["score"]
+    assert toxicity.score(none, machine).count() == 0
+    assert 0 <= toxicity.learn(none.select("doc_id", "text"), l).score(np.array([], int)) <= 1
+
+
+def test_interactions_are_learned():
+    """Two terms that are harmless alone and toxic together: no weights alone can tell."""
+    r = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(1500):
+        a, b = r.random(2) < 0.5
+        rows.append(np.array(sorted([10 * a + 1, 20 * b + 2, *(r.integers(100, 130, 3)).tolist()])))
+        y.append(float(a and not b or b and not a))
+    y = np.array(y, np.float32)
+    m = toxicity.fit(rows, y, epochs=200)
+    slots = m.slots
+    if (slots >= 0).sum() >= 4:
+        got = [m.score(s[s >= 0]) >= 0.5 for s in (slots[x] for x in rows)]
+        assert (np.array(got) == y).mean() > 0.9
+
+
+def test_quality(spark, none):
+    rows, labels = [], []
+    for i in range(300):
+        good = i % 3 != 0
+        lines = [prose(12, i * 10 + k).capitalize() + "." for k in range(4)]
+        if not good:
+            lines[1:] = [" ".join(w.upper() + "!!" for w in x.split()) for x in lines[1:]]
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(good), 0))
+    rows += [(900, None), (901, " \n "), (None, rows[1][1]), (902, prose(9, 1) + "\n" * 5000)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    field = crf.learn(d, l)
+    got = {r["doc_id"]: r for r in crf.score(d, field).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i]["held_out"] for i in held) and np.mean([(got[i]["predicted"] == 1) == (i % 3 != 0) for i in held]) > 0.95
+    assert got[900]["score"] == got[901]["score"] and len(got) == len(rows)
+    kept = crf.good(d.withColumn("extra", F.lit(1)), field)
+    assert kept.columns == ["doc_id", "text", "extra"] and kept.count() == sum(r["predicted"] for r in got.values())
+    assert crf.score(none, field).count() == 0
+    assert crf.learn(none.select("doc_id", "text"), l).score(*crf.lines_of("x")) >= 0
+
+
+def test_marginals_match_enumeration():
+    r = np.random.default_rng(2)
+    f = crf.Field(np.zeros(crf.SIZE), 0.0, r.normal(size=(2, 2)), 1.0, 0.0)
+    z = r.normal(size=5)
+    total, one, pairs = 0.0, np.zeros(5), np.zeros((2, 2))
+    for code in range(32):
+        y = [code >> k & 1 for k in range(5)]
+        p = np.exp(sum(z[k] * y[k] for k in range(5)) + sum(f.pass_on[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total += p
+        one += p * np.array(y)
+        for a, b in zip(y, y[1:], strict=False):
+            pairs[a, b] += p
+    got, joint = f.marginals(z)
+    assert np.allclose(got, one / total) and np.allclose(joint, pairs / total)
+
+
+def vectors():
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=16).tolist(), i % 3, "q") for i in range(240)]
+    base = np.array(rows[3][1])
+    rows += [(1000 + i, (base + r.normal(size=16) * 0.05).tolist(), 0, "q") for i in range(40)]
+    rows += [(2000 + i, rows[5][1], 2, "q") for i in range(15)] + [(2100, rows[5][1], None, "q"), (2200, rows[5][1], 1, "q")]
+    rows += [(3000, None, 0, "q"), (3100, [0.0] * 16, 0, "q"), (3200, [float("nan")] * 16, 0, "q"), (3300, [1.0, None] * 8, 0, "q"), (3400, [], 0, "q"), (3500, [1.0, 2.0], 0, "q"), (3600, [float("inf")] * 16, 0, "q"), (None, rows[7][1], 1, "q"), (3700, (np.array(rows[5][1]) * 2).tolist(), 2, "q")]
+    return rows
+
+
+VS = "vec_id long, embedding array<double>, label int, vector string"
+
+
+def valid(v):
+    return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
+def test_pivots(spark):
+    rows = vectors()
+    got = {r["vec_id"]: r for r in pivots.near_duplicates(spark.createDataFrame(rows, VS)).collect()}
+    own = [(i, np.array(v) / np.linalg.norm(v), l) for i, v, l, _ in rows if valid(v) and l is not None]
+    links = collections.Counter()
+    root = {i: i for i, *_ in rows if i is not None}
+    for i, u, l in own:
+        for j, w, m in own:
+            if l == m and i != j and len(u) == len(w) and u @ w >= 0.98:
+                links[i] += 1
+                if i is not None and j is not None:
+                    a, b = root[i], root[j]
+                    for k, x in root.items():
+                        if x in (a, b):
+                            root[k] = min(a, b)
+    assert len(got) == len(rows)
+    for i, *_ in rows:
+        if i is not None:
+            assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i], root[i], root[i] == i), i
+    assert got[None]["component_id"] is None
+    assert pivots.near_duplicates(spark.createDataFrame([], VS)).count() == 0
+
+
+def test_nearest(spark):
+    rows = vectors()
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, VS), F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    own = [(i, np.array(v)) for i, v, *_ in rows if valid(v) and i is not None]
+    hit = all_ = 0
+    for q, v in own:
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in own if i != q and len(w) == len(v))[:10]
+            mine = sorted(got.get(q, []))
+            assert [r for r, *_ in mine] == list(range(1, len(mine) + 1))
+            assert mine == sorted(mine, key=lambda x: (x[2], x[1]))
+            hit += len({i for _, i in near} & {i for _, i, _ in mine})
+            all_ += len(near)
+    assert set(got) <= {q for q, _ in own if q % 100 == 0} and hit / all_ >= 0.9
+    assert ann.nearest(spark.createDataFrame([], VS), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_scan_gives_up_only_what_is_far():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(500, 64))
+    q = x[0] + 0.1
+    turn = np.linalg.qr(r.normal(size=(64, 64)))[0]
+    exact = ((x - q) ** 2).sum(1)
+    at, d = ann.scan(q, np.concatenate((q[None], x)) @ turn, x, np.sort(exact)[10], 10)
+    assert set(np.argsort(exact)[:9]) <= set(at.tolist()) and np.allclose(d, exact[at])
