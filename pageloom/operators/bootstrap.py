@@ -20,10 +20,10 @@ def resamples(values: DataFrame, *keys: str, value: str = "value", order: str =
     Groups are scores of pages or runs: small. A row multiplies by `times` on its own task, so a group's rows aren't gathered.
     """
     by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    at = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), (F.row_number().over(by.orderBy(order)) - 1).alias("i"), F.count("*").over(by).alias("n"))
-    drawn = at.select(*keys, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("resample")).withColumn("pick", draw(seed, F.col("resample"), F.col("i"), F.col("n")))
-    met = drawn.select(*keys, "resample", F.col("pick").alias("i")).join(at.select(*keys, "i", "v"), [*keys, "i"])
-    return met.groupBy(*keys, "resample").agg(STATISTICS[statistic]("v").alias("stat"))
+    at = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), (F.row_number().over(by.orderBy(order)) - 1).alias("_i"), F.count("*").over(by).alias("_n"))
+    drawn = at.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("resample")).withColumn("_pick", draw(seed, F.col("resample"), F.col("_i"), F.col("_n")))
+    met = drawn.select(*keys, "resample", F.col("_pick").alias("_i")).join(at.select(*keys, "_i", "_v"), [*keys, "_i"])
+    return met.groupBy(*keys, "resample").agg(STATISTICS[statistic]("_v").alias("stat"))
 
 
 def interval(stats: DataFrame, *keys: str, level: float = 0.95, times: int = 1000) -> DataFrame:
@@ -31,8 +31,8 @@ def interval(stats: DataFrame, *keys: str, level: float = 0.95, times: int = 100
     alpha = 1 - level
     lo, hi = int(times * alpha / 2 + 1e-9), min(times - 1, int(times * (1 - alpha / 2) + 1e-9))
     by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    ranked = stats.withColumn("r", F.row_number().over(by.orderBy("stat")) - 1)
-    at = lambda k: F.max(F.when(F.col("r") == k, F.col("stat")))
+    ranked = stats.withColumn("_r", F.row_number().over(by.orderBy("stat")) - 1)
+    at = lambda k: F.max(F.when(F.col("_r") == k, F.col("stat")))
     return ranked.groupBy(*keys).agg(at(lo).alias("lower"), at(hi).alias("upper"), F.avg("stat").alias("boot_mean"))
 
 

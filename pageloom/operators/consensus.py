@@ -57,15 +57,15 @@ def votes(grid: DataFrame, *keys: str) -> DataFrame:
     """
     at = _at_positions(grid)
     each = at.where("text IS NOT NULL").groupBy(*keys, "position", "text").agg(
-        F.count("*").alias("n"), F.sum(F.coalesce("confidence", F.lit(1.0))).alias("s"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("m"), F.min("engine_rank").alias("first")
+        F.count("*").alias("_n"), F.sum(F.coalesce("confidence", F.lit(1.0))).alias("_s"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("_m"), F.min("engine_rank").alias("_first")
     )
-    best = lambda what, *by: F.max_by(F.struct("text", "n", "s", "m"), F.struct(*by, -F.col("first")))
-    won = each.groupBy(*keys, "position").agg(best("m", "n", "s").alias("a"), best("w", "s").alias("b"), best("t", "n", "m").alias("c"))
+    best = lambda *by: F.max_by(F.struct("text", "_n", "_s", "_m"), F.struct(*by, -F.col("_first")))
+    won = each.groupBy(*keys, "position").agg(best("_n", "_s").alias("_a"), best("_s").alias("_b"), best("_n", "_m").alias("_c"))
     total = at.groupBy(*keys, "position").agg(F.count("*").alias("total_votes"))
     out = total.join(won, [*keys, "position"], "left")
     return out.select(
-        *keys, "position", F.col("a.text").alias("majority"), F.col("a.n").alias("majority_votes"), F.col("b.text").alias("weighted"), (F.col("b.s") / F.col("b.n")).alias("weighted_confidence"),
-        F.col("b.n").alias("vote_count"), "total_votes", F.col("c.text").alias("mean_tie"), F.col("c.m").alias("mean_tie_confidence"), (~F.col("a.text").eqNullSafe(F.col("b.text"))).alias("flag"),
+        *keys, "position", F.col("_a.text").alias("majority"), F.col("_a._n").alias("majority_votes"), F.col("_b.text").alias("weighted"), (F.col("_b._s") / F.col("_b._n")).alias("weighted_confidence"),
+        F.col("_b._n").alias("vote_count"), "total_votes", F.col("_c.text").alias("mean_tie"), F.col("_c._m").alias("mean_tie_confidence"), (~F.col("_a.text").eqNullSafe(F.col("_b.text"))).alias("flag"),
     )
 
 
@@ -73,14 +73,14 @@ def entropies(grid: DataFrame, *keys: str) -> DataFrame:
     """Disagreement at each position: entropy (a gap is a reading like any other; over log2 of the engines, 1 at most; one
     engine: 0) and entropy_no_gaps (gaps left out; over log2 of those that read something; fewer than two: 0)."""
     at = _at_positions(grid)
-    each = at.groupBy(*keys, "position", "text").agg(F.count("*").alias("n"))
+    each = at.groupBy(*keys, "position", "text").agg(F.count("*").alias("_n"))
     all_ = W.partitionBy(*keys, "position")
-    each = each.withColumn("t", F.sum("n").over(all_)).withColumn("k", F.sum(F.when(F.col("text").isNotNull(), F.col("n")).otherwise(0)).over(all_))
+    each = each.withColumn("_t", F.sum("_n").over(all_)).withColumn("_k", F.sum(F.when(F.col("text").isNotNull(), F.col("_n")).otherwise(0)).over(all_))
     h = lambda n, t: -(n / t) * F.log2(n / t)
     out = each.groupBy(*keys, "position").agg(
-        F.sum(h(F.col("n"), F.col("t"))).alias("h"), F.first("t").alias("t"), F.sum(F.when(F.col("text").isNotNull(), h(F.col("n"), F.col("k")))).alias("g"), F.first("k").alias("k")
+        F.sum(h(F.col("_n"), F.col("_t"))).alias("_h"), F.first("_t").alias("_t"), F.sum(F.when(F.col("text").isNotNull(), h(F.col("_n"), F.col("_k")))).alias("_g"), F.first("_k").alias("_k")
     )
-    return out.select(*keys, "position", F.when(F.col("t") < 2, 0.0).otherwise(F.least(F.greatest(F.col("h") / F.log2("t"), F.lit(0.0)), F.lit(1.0))).alias("entropy"), F.when(F.col("k") < 2, 0.0).otherwise(F.greatest(F.col("g") / F.log2("k"), F.lit(0.0))).alias("entropy_no_gaps"))
+    return out.select(*keys, "position", F.when(F.col("_t") < 2, 0.0).otherwise(F.least(F.greatest(F.col("_h") / F.log2("_t"), F.lit(0.0)), F.lit(1.0))).alias("entropy"), F.when(F.col("_k") < 2, 0.0).otherwise(F.greatest(F.col("_g") / F.log2("_k"), F.lit(0.0))).alias("entropy_no_gaps"))
 
 
 def page_entropy(positions: DataFrame, *keys: str) -> DataFrame:
