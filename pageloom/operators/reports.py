@@ -10,10 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _number(path: Column) -> Column:
-    return path.cast("string").try_cast("double") if hasattr(path, "try_cast") else path.cast("double")
-
-
 def run_metrics(runs: DataFrame, summaries: DataFrame) -> DataFrame:
     """runs with cer, wer, char_f1, word_f1 and f1 of their first summary (by created_at, then summary_id).
 
