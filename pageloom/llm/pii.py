@@ -152,7 +152,7 @@ def _examples(rows: int, seed: int) -> list[tuple[int, str, str, int]]:
 
 
 @functools.cache
-def _models(key: str, seed: int, precision: float) -> list[tuple[list, float]]:
+def _models(seed: int, precision: float) -> list[tuple[list, float]]:
     spark = SparkSession.getActiveSession()
     rows = [{"k": k, "m": m, "b": b, "y": y} for k, m, b, y in _examples(2000, seed)]
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<k:int,m:string,b:string,y:int>>")))
@@ -200,7 +200,7 @@ def learned_spans(text: Column, base: Column, models: list[tuple[list, float]])
 
 def with_spans(df: DataFrame, text: Column, seed: int = 11, precision: float = 0.98) -> DataFrame:
     """df with `_base` and `_added`: arrays of (k, s, e, m)."""
-    models = _models("v1", seed, precision)
+    models = _models(seed, precision)
     out = df.withColumn("_base", base_spans(text))
     return out.withColumn("_added", learned_spans(text, F.col("_base"), models))
 
