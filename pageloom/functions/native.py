@@ -64,26 +64,36 @@ def overlap_1d(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when((inter > 0) & (union > 0), inter / union).otherwise(0.0)
 
 
-def script_counts(text: Column) -> Column:
-    """Characters of each script as a map. A character that two tables name counts for the first."""
-    seen, pairs = "", []
+def _script_patterns() -> dict[str, str]:
+    """A character class for each script. A character that two tables name belongs to the first."""
+    seen, out = "", {}
     for name, ranges in SCRIPTS.items():
-        pattern = f"[{ranges}&&[^{seen}]]" if seen else f"[{ranges}]"
-        pairs += [F.lit(name), F.regexp_count(text, F.lit(pattern))]
+        out[name] = f"[{ranges}&&[^{seen}]]" if seen else f"[{ranges}]"
         seen += ranges
-    return F.create_map(*pairs)
+    return out
+
+
+def script_counts(text: Column) -> Column:
+    """Characters of each script as a map."""
+    return F.create_map(*(x for name, p in _script_patterns().items() for x in (F.lit(name), F.regexp_count(text, F.lit(p)))))
 
 
 def script_of(text: Column, denominator: str = "non_latin", least: float = 0.2) -> Column:
     """The dominant script. As documented upstream the share is of all visible characters (`non_whitespace`); as measured
-    there, and by default here, of the characters that belong to some script. Ties go to the script seen first."""
+    there, and by default here, of the characters that belong to some script. Ties go to the script seen first.
+
+    A text without any such character, the usual case, costs one search."""
     text = F.coalesce(text, F.lit(""))
-    counts = F.map_entries(script_counts(text))
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x["value"]) if denominator == "non_latin" else F.length(F.regexp_replace(text, BLANK, ""))
-    first = {n: F.regexp_instr(text, F.lit(f"[{r}]")) for n, r in SCRIPTS.items()}
-    ranked = F.array(*(F.struct(F.element_at(script_counts(text), n).alias("n"), (-first[n]).alias("at"), F.lit(n).alias("name")) for n in SCRIPTS))
-    best = F.array_max(ranked)
-    return F.when((total > 0) & (best["n"] >= least * total), best["name"]).otherwise(F.lit("latin"))
+    ranked = F.array(*(F.struct(F.regexp_count(text, F.lit(p)).alias("n"), (-F.regexp_instr(text, F.lit(p))).alias("at"), F.lit(name).alias("name")) for name, p in _script_patterns().items()))
+
+    def choose(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0), lambda a, x: a + x["n"]) if denominator == "non_latin" else F.length(F.regexp_replace(text, BLANK, ""))
+        best = F.array_max(found)
+        return F.when(best["n"] >= least * total, best["name"]).otherwise(F.lit("latin"))
+
+    # The array is made once, as the only item of another.
+    chosen = F.transform(F.array(ranked), choose)[0]
+    return F.when(text.rlike(f"[{''.join(SCRIPTS.values())}]"), chosen).otherwise(F.lit("latin"))
 
 
 def unread(text: Column) -> Column:
