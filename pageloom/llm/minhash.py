@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, drop, keep, shingle_hashes, tasks_for, text_of, words_of
+from .common import WordHashes, batches, drop, keep, shingle_hashes, text_of, words_of
 from .components import components
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: Registers are spaced by this factor: 255 of them span minima from 1 / 10^9 to 30.
 BASE = 1.1
-#: Estimates this far (in standard errors) below the threshold aren't verified; one true pair in 10^9 is that far off.
-ERRORS = 6.0
+#: Estimates this far (in standard errors) below the threshold aren't verified; three true pairs in 10^7 are that far off.
+ERRORS = 5.0
+#: Sets that one block of a meeting holds: bytes, documents.
+BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 2048
 
 _rng = np.random.default_rng(0x5E75)
 _ODD = (_rng.integers(0, 1 << 63, REGISTERS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -110,13 +112,11 @@ def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return met.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, j double")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links among pairs (a, b), confirmed on the full sets, which are made anew from the texts.
+def _full_sets(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """id and its whole set (64-bit hashes, sorted), made anew from the texts: they are shuffled once, here.
 
     texts: id, text, digest (that of the text that counts, or null where an id has one text only).
     """
-    sides = pairs.select(F.col("a").alias("id"), F.struct("a", "b").alias("p")).unionByName(pairs.select(F.col("b").alias("id"), F.struct("a", "b").alias("p")))
-    wanted = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
 
     def to_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -125,9 +125,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
             ok = pa.array([d is None or d == hashlib.blake2b(s, digest_size=16).digest() for d, s in zip(b["digest"].to_pylist(), made, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b["id"].filter(ok), pa.array(made, pa.binary()).filter(ok)], ["id", "s"])
 
-    sets = wanted.select("id", "text", "digest").mapInArrow(to_sets, "id long, s binary")
+    return texts.join(ids.hint("merge"), "id").select("id", "text", "digest").mapInArrow(to_sets, "id long, s binary")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among pairs (a, b), confirmed on the full sets."""
+    sides = pairs.select(F.col("a").alias("id"), F.struct("a", "b").alias("p")).unionByName(pairs.select(F.col("b").alias("id"), F.struct("a", "b").alias("p")))
     # A pair's two sets meet at the pair, not at a hub: no task holds all partners of one document.
-    both = sides.join(sets, "id").groupBy("p").agg(F.min_by("s", "id").alias("x"), F.max_by("s", "id").alias("y"))
+    both = sides.join(full, "id").groupBy("p").agg(F.min_by("s", "id").alias("x"), F.max_by("s", "id").alias("y"))
 
     def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -142,6 +147,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return both.select("p.a", "p.b", "x", "y").mapInArrow(test, "a long, b long")
 
 
+def _meetings(placed: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among all documents of a group (placed: id, grp, blocks), as edges that connect what links connect.
+
+    A group's documents are dealt to blocks of bounded size, and blocks meet pairwise. A meeting holds whole sets; common
+    shingles are counted by products of 0/1 matrices, so pairs are never rows.
+    """
+    sets = full.join(placed, "id")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
+    sent = sets.select("id", "grp", "s", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("grp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "s")
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids, block = t["id"].to_numpy(), t["block"].to_numpy()
+        raw = [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
+        n = np.array([len(x) for x in raw])
+        names, at, times = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(raw)), n)
+        often = times > 1  # a shingle of one document alone is common to no pair
+        slot = np.cumsum(often) - 1
+        use = often[at]
+        doc, col = doc[use], slot[at[use]]
+        order = np.argsort(col, kind="stable")
+        doc, col = doc[order], col[order]
+        a, b = np.flatnonzero(block == t["x"][0].as_py()), np.flatnonzero(block == t["y"][0].as_py())
+        inter = np.zeros((len(a), len(b)), np.float32)
+        for first in range(0, int(often.sum()), 2048):
+            lo, hi = np.searchsorted(col, (first, first + 2048))
+            m = np.zeros((len(raw), 2048), np.float32)
+            m[doc[lo:hi], col[lo:hi] - first] = 1
+            inter += m[a] @ m[b].T
+        hit = den * inter >= num * (n[a][:, None] + n[b][None] - inter)
+        root = np.arange(len(ids))
+        while True:
+            before = root.copy()
+            root[a] = np.minimum(root[a], np.where(hit, root[b][None], len(ids)).min(1, initial=len(ids)))
+            root[b] = np.minimum(root[b], np.where(hit, root[a][:, None], len(ids)).min(0, initial=len(ids)))
+            if (root == before).all():
+                break
+        joined = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": ids[root[joined]], "b": ids[joined]})
+
+    return sent.groupBy("grp", "x", "y").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Near copies by Jaccard similarity >= num / den of sets of `size`-word shingles.
 
@@ -150,58 +200,55 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
 
     Null and empty texts have no shingles and link with nothing. Texts shorter than a shingle have one, the whole.
     Rows that repeat a doc_id are one document, by the text whose set has the least digest; each row has its own
-    n_shingles. A null doc_id gives a null
-    component and false. An empty table gives an empty one.
+    n_shingles. A null doc_id gives a null component and false. An empty table gives an empty one.
 
     Documents with equal sets are one class from the start. Classes meet where a band of ROWS registers is equal;
-    with 32 bands of 4, a pair at 0.8 is missed with chance 5e-8. In each bucket, members are first held against
-    its smallest member: one pair each, and of those per member only the likeliest. What isn't in one component
-    after that (few, mostly false meetings) is compared pair by pair across components. Links inside a component
-    change nothing and are never made. Groups, hubs and buckets are sums, minima or joins, never collected.
+    with 30 bands of 5, a pair at 0.8 is missed with chance 7e-6. In each bucket, members are held against its
+    smallest member by the registers' likelihood: a row for each member, not for each pair. Likely ones form groups.
+    Of each member, the likeliest pair is verified on full sets; that settles most groups. In a group that is still more
+    than one component, all documents are compared, block by block (_meetings). Members of a bucket that belong to
+    different groups, which is rare, are compared as pairs. Groups, hubs and buckets are sums, minima or joins.
     """
     own = keep(sketches(df, size), "sketches")
     valid = own.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     texts = text_of(df).withColumnRenamed("doc_id", "id").where("id IS NOT NULL")
-    repeated = keep(valid.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most"), "repeated")
+    repeated = keep(valid.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count("*").alias("rows")).where("rows > 1"), "repeated")
     if repeated.isEmpty():
         texts = texts.withColumn("digest", F.lit(None).cast("binary"))
     else:
-        valid = valid.join(repeated, "doc_id", "left").where("least IS NULL OR digest = least").select(own.columns)
+        valid = valid.join(repeated, "doc_id", "left").where("least IS NULL OR digest = least").select(own.columns).dropDuplicates(["doc_id"])
         texts = texts.join(repeated.select(F.col("doc_id").alias("id"), F.col("least").alias("digest")), "id", "left")
-    valid = valid.dropDuplicates(["doc_id"]) if not repeated.isEmpty() else valid
     classes = keep(valid.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
+    same = valid.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     sets = classes.select("id", "n", "registers")
     bands = sets.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("registers", i * ROWS + 1, ROWS))).alias("band", "value"))
     bands = bands.select("id", F.xxhash64("band", "value").alias("key"))
     # Buckets of one never link: counting first keeps the rest small. It is written, so that the join may split hot keys.
     firsts = keep(bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "buckets")
     bands = keep(bands.join(firsts, "key").select("key", "id", "first"), "bands")
+    drop(firsts)
     stars = bands.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = keep(_likely(stars, sets, num, den), "stars")
-    same = valid.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a"))
-    links = keep(_verified(best.select("a", "b"), texts, size, num, den), "links")
-    tried = best.select("a", "b")
-    label = keep(components(links), "labels")
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs not yet in one component."""
-        named = lambda s: label.select(F.col("id").alias(s), F.col("root").alias(f"l{s}"))
-        out = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        return out.where("coalesce(la, a) <> coalesce(lb, b)").select(*pairs.columns)
-
-    more = keep(_verified(across(stars.select("a", "b")).join(tried, ["a", "b"], "left_anti"), texts, size, num, den), "links")
-    links = keep(links.unionByName(more), "links")
-    drop(label)
-    label = keep(components(links), "labels")
-    named = bands.join(label, "id", "left").select("key", "id", F.coalesce("root", "id").alias("l"))
+    group = keep(components(stars.select("a", "b")).select("id", F.col("root").alias("grp")), "groups")
+    named = bands.select("key", "id").join(group, "id", "left").select("key", "id", F.coalesce("grp", "id").alias("l"))
     common = named.groupBy("key", "l").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("l", F.struct("n", "l")).alias("main"), F.count("*").alias("k")).where("k > 1")
     rest = keep(named.join(keep(common.select("key", "main"), "spread"), "key"), "rest")
-    # Only members outside a bucket's commonest component look at the others.
-    pairs = rest.where("l <> main").alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.l <> y.l")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    pairs = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    last = keep(_verified(_likely(pairs, sets, num, den).select("a", "b"), texts, size, num, den), "links")
-    final = keep(components(links.unionByName(last).unionByName(same)), "labels")
+    drop(bands)
+    # Only members outside a bucket's commonest group look at the others.
+    cross = rest.where("l <> main").alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.l <> y.l")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    cross = keep(_likely(cross, sets, num, den), "cross").select("a", "b")
+    wanted = group.select("id").unionByName(cross.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    full = keep(_full_sets(wanted, texts, size), "full")
+
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b")
+    links = keep(_verified(best.unionByName(cross).distinct(), full, num, den), "links")
+    label = components(links)
+    member = keep(group.join(label, "id", "left").join(sets.select("id", "n"), "id").select("id", "grp", "n", F.coalesce("root", "id").alias("l")), "members")
+    open_ = member.groupBy("grp").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks")).where("lo < hi")
+    placed = member.join(keep(open_.select("grp", "blocks"), "open"), "grp").select("id", "grp", "blocks")
+    met = keep(_meetings(placed, full, num, den), "links")
+    drop(full)
+    final = components(links.unionByName(met).unionByName(same))
     out = own.select("doc_id", "n_shingles").join(final.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
     root = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(False)).alias("kept"))
