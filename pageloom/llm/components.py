@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from .common import drop, keep
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("k"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("k").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b) of comparable ids, in any order, repeats allowed. Returns (id, root), root the smallest id reachable.
 
-    Large-star and small-star steps in turn until nothing changes: each node hands its neighbours to its
+    Large-star and small-star steps in turn until only stars are left: each node hands its neighbours to its
     smallest neighbour. Both steps are aggregations and joins on ids, so a hub of any size is a partial minimum
     and a skewed join, never a collected group. The number of rounds grows with the logarithm of the longest
     chain. Every round is written to the shared folder. No links: an empty table.
     """
     edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    total = -1
-    while True:
+    while not _stars(edges):
         # Large star: neighbours above a node go to its smallest neighbour (or itself).
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -27,11 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = keep(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(edges)
         edges = small
-        if state == total:
-            break
-        total = state
     out = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return out.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

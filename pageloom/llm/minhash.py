@@ -21,6 +21,8 @@ REGISTERS = BANDS * ROWS
 BASE = 1.1
 #: Estimates this far (in standard errors) below the threshold aren't verified; three true pairs in 10^7 are that far off.
 ERRORS = 5.0
+#: A member this like its bucket's first one belongs to that one's group, in which all are compared if need be.
+AKIN = 0.4
 #: Sets that one block of a meeting holds: bytes, documents.
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 2048
 
@@ -93,12 +95,16 @@ def sketches(df: DataFrame, size: int) -> DataFrame:
     return text_of(df).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and registers allow num / den, with the estimate."""
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+def _floor(num: int, den: int) -> float:
+    """Estimates below this don't come from pairs at num / den."""
     t = num / den
-    floor = t - ERRORS * math.sqrt(t * (1 - t) / REGISTERS)
+    return t - ERRORS * math.sqrt(t * (1 - t) / REGISTERS)
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose sizes and registers allow a similarity of `least`, with the estimate."""
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) >= {least} * greatest(na, nb)")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -106,7 +112,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             ra, rb = (np.frombuffer(b"".join(b[k].to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in ("ra", "rb"))
             j = estimate(ra, rb, b["na"].to_numpy().astype(float), b["nb"].to_numpy().astype(float))
-            ok = pa.array(j >= floor)
+            ok = pa.array(j >= least)
             yield pa.RecordBatch.from_arrays([b["a"].filter(ok), b["b"].filter(ok), pa.array(j).filter(ok)], ["a", "b", "j"])
 
     return met.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, j double")
@@ -204,9 +210,9 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
 
     Documents with equal sets are one class from the start. Classes meet where a band of ROWS registers is equal;
     with 30 bands of 5, a pair at 0.8 is missed with chance 7e-6. In each bucket, members are held against its
-    smallest member by the registers' likelihood: a row for each member, not for each pair. Likely ones form groups.
-    Of each member, the likeliest pair is verified on full sets; that settles most groups. In a group that is still more
-    than one component, all documents are compared, block by block (_meetings). Members of a bucket that belong to
+    smallest member by the registers' likelihood: a row for each member, not for each pair. Those at AKIN or more form
+    groups. Of each member, the likeliest pair is verified on full sets; that settles most groups. In a group that
+    these links don't connect, all documents are compared, block by block (_meetings). Members of a bucket that belong to
     different groups, which is rare, are compared as pairs. Groups, hubs and buckets are sums, minima or joins.
     """
     own = keep(sketches(df, size), "sketches")
@@ -228,7 +234,8 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     bands = keep(bands.join(firsts, "key").select("key", "id", "first"), "bands")
     drop(firsts)
     stars = bands.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    stars = keep(_likely(stars, sets, num, den), "stars")
+    floor = _floor(num, den)
+    stars = keep(_likely(stars, sets, min(AKIN, floor)), "stars")
     group = keep(components(stars.select("a", "b")).select("id", F.col("root").alias("grp")), "groups")
     named = bands.select("key", "id").join(group, "id", "left").select("key", "id", F.coalesce("grp", "id").alias("l"))
     common = named.groupBy("key", "l").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("l", F.struct("n", "l")).alias("main"), F.count("*").alias("k")).where("k > 1")
@@ -236,16 +243,19 @@ def near_duplicates(df: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     drop(bands)
     # Only members outside a bucket's commonest group look at the others.
     cross = rest.where("l <> main").alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.l <> y.l")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    cross = keep(_likely(cross, sets, num, den), "cross").select("a", "b")
+    cross = keep(_likely(cross, sets, floor), "cross").select("a", "b")
     wanted = group.select("id").unionByName(cross.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     full = keep(_full_sets(wanted, texts, size), "full")
 
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a")).select("a", "b")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("j", -F.col("a"))).alias("a"), F.max("j").alias("j")).where(F.col("j") >= floor).select("a", "b")
     links = keep(_verified(best.unionByName(cross).distinct(), full, num, den), "links")
-    label = components(links)
-    member = keep(group.join(label, "id", "left").join(sets.select("id", "n"), "id").select("id", "grp", "n", F.coalesce("root", "id").alias("l")), "members")
-    open_ = member.groupBy("grp").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks")).where("lo < hi")
-    placed = member.join(keep(open_.select("grp", "blocks"), "open"), "grp").select("id", "grp", "blocks")
+    # Each member but the first has one likeliest pair: if all of them are links, they connect the group.
+    inside = links.join(best, ["a", "b"], "left_semi").join(group.withColumnRenamed("id", "b"), "b").groupBy("grp").agg(F.count("*").alias("k"))
+    member = group.join(sets.select("id", "n"), "id")
+    groups = member.groupBy("grp").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
+    # A group of two is settled by its pair.
+    open_ = keep(groups.where("size > 2").join(inside, "grp", "left").where("coalesce(k, 0) < size - 1").select("grp", "blocks"), "open")
+    placed = group.join(open_, "grp").select("id", "grp", "blocks")
     met = keep(_meetings(placed, full, num, den), "links")
     drop(full)
     final = components(links.unionByName(met).unionByName(same))
