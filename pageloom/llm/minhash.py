@@ -22,7 +22,7 @@ BASE = 1.1
 #: Estimates this far (in standard errors) below the threshold aren't verified; three true pairs in 10^7 are that far off.
 ERRORS = 5.0
 #: A member this like its bucket's first one belongs to that one's group, in which all are compared if need be.
-AKIN = 0.4
+AKIN = 0.3
 #: Sets that one block of a meeting holds: bytes, documents.
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 2048
 
@@ -104,7 +104,7 @@ def _floor(num: int, den: int) -> float:
 def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose sizes and registers allow a similarity of `least`, with the estimate."""
     side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) >= {least} * greatest(na, nb)")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) >= {least}D * greatest(na, nb)")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
