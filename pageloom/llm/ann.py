@@ -15,12 +15,14 @@ from .vectors import matrix, sample, usable
 
 #: Lists at most, and vectors at most from which they are fitted.
 LISTS, SAMPLE = 1024, 16384
-#: The index probes as many lists as found this share of the neighbours in the sample.
+#: The index probes as many lists as found this share of the neighbours in the sample, and more where a query needs them.
 RECALL = 0.985
 #: A candidate is given up where chance would leave it inside the radius with a likelihood of about exp(-SURE^2 / 2).
 SURE = 3.0
 #: Dimensions of a column block; members, and queries, of one task.
 BLOCK, MEMBERS, QUERIES = 16, 8192, 4096
+#: Queries that are compared with the sample at a time.
+STEP = 512
 
 
 def _sq(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -28,7 +30,7 @@ def _sq(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centroids, a rotation and a number of lists to probe, for vectors of one length."""
+    """Centroids, a rotation and the least number of lists to probe, for vectors of one length."""
 
     def __init__(self, vectors: np.ndarray, lists: int, k: int, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -42,7 +44,7 @@ class Index:
             for j in np.unique(home):
                 c[j] = vectors[home == j].mean(0)
         self.centroids = c
-        home = _sq(vectors, c).argmin(1)
+        self.homes = home = _sq(vectors, c).argmin(1)
         some = rng.permutation(n)[:256]
         near = np.argsort(_sq(vectors[some], vectors), 1, kind="stable")[:, 1 : k + 1]
         ranks = np.argsort(np.argsort(_sq(vectors[some], c), 1, kind="stable"), 1)
@@ -52,15 +54,25 @@ class Index:
     def home(self, x: np.ndarray) -> np.ndarray:
         return _sq(x, self.centroids).argmin(1)
 
-    def probed(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(_sq(x, self.centroids), 1, kind="stable")[:, : self.probes]
-
-    def radius(self, x: np.ndarray) -> np.ndarray:
-        """Squared distance within which k other vectors are sure to be: the sample's are among them."""
-        if len(self.sample) < self.k + 2:
-            return np.full(len(x), np.inf)
-        d = np.partition(_sq(x, self.sample), self.k + 1, 1)[:, self.k + 1]
-        return d * (1 + 1e-9) + 1e-12
+    def probed(self, x: np.ndarray) -> tuple[list[list[int]], list[float]]:
+        """Lists by distance of their centroids, and a squared radius within which k other vectors are sure to be in them.
+
+        The k + 2 nearest of the sample give the radius, and each query's lists go on to the last that holds one of them.
+        """
+        lists, radii = [], []
+        for at in range(0, len(x), STEP):
+            part = x[at : at + STEP]
+            order = np.argsort(_sq(part, self.centroids), 1, kind="stable")
+            if len(self.sample) < self.k + 2:
+                lists += order.tolist()
+                radii += [float("inf")] * len(part)
+                continue
+            d = _sq(part, self.sample)
+            near = np.argpartition(d, self.k + 1, 1)[:, : self.k + 2]
+            last = np.take_along_axis(np.argsort(order, 1), self.homes[near], 1).max(1)
+            lists += [o[: max(self.probes, n + 1)].tolist() for o, n in zip(order, last, strict=True)]
+            radii += (np.take_along_axis(d, near, 1).max(1) * (1 + 1e-9) + 1e-12).tolist()
+        return lists, radii
 
 
 def scan(q: np.ndarray, rotated: np.ndarray, whole: np.ndarray, radius: float, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +112,10 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, vector: str = "embeddin
     null ids are neither queries nor answers. An empty table gives an empty one.
 
     Equal vectors are one class that knows its k + 1 smallest ids (no answer needs more). Inverted lists are fitted on
-    a bounded sample and hold every class; how many are probed is measured on that sample. A list of any size is
-    cut into tasks of MEMBERS vectors by QUERIES queries. Recall is what probing and the tests lose; see the tests.
+    a bounded sample and hold every class; how many are probed is measured on that sample, and for each query on its own
+    nearest there. A query that is left with too few answers is run again over all lists of its length, without a radius.
+    A list of any size is cut into tasks of MEMBERS vectors by QUERIES queries. Recall is what probing and the tests
+    lose; see the tests.
     """
     rows = keep(usable(df, vector).where("vector IS NOT NULL AND vec_id IS NOT NULL"), "vectors")
     order = W.partitionBy("vector").orderBy("vec_id")
@@ -133,7 +147,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, vector: str = "embeddin
     def probes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
-                got = by_length(b, lambda i, x: list(zip(i.probed(x).tolist(), i.radius(x).tolist(), strict=True)) if i else [([0], float("inf"))] * len(x))
+                got = by_length(b, lambda i, x: list(zip(*i.probed(x), strict=True)) if i else [([0], float("inf"))] * len(x))
                 yield pa.RecordBatch.from_arrays([b["vector"], pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.float64())], ["vector", "lists", "radius"])
 
     members = keep(classes.mapInArrow(homes, "vector binary, ids array<long>, list int"), "members")
@@ -141,12 +155,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, vector: str = "embeddin
     q = keep(asked.select("vector").distinct().mapInArrow(probes, "vector binary, lists array<int>, radius double"), "queries")
     length = F.octet_length("vector").alias("length")
     visits = q.select(F.xxhash64("vector").alias("h"), "vector", "radius", length, F.explode("lists").alias("list"))
-    size = members.groupBy(length, "list").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    load = visits.groupBy("length", "list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
-    cut = keep(size.join(load, ["length", "list"]), "cut")  # a row per list: LISTS for each length
-    cut = broadcast_if_small(cut, cut.count())
-    left = visits.join(cut, ["length", "list"]).select("length", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod("h", "shares").cast("int").alias("share"), "vector", "radius")
-    right = members.select("vector", "ids", length, "list").join(cut, ["length", "list"]).select("length", "list", F.pmod(F.xxhash64("vector", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vector", "ids")
+    size = keep(members.groupBy(length, "list").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "sizes")  # a row per list: LISTS for each length
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         out_q, out_i, out_d = [], [], []
@@ -167,9 +176,25 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, vector: str = "embeddin
         return pa.table({"q": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
 
     keys = ["length", "list", "part", "share"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "q binary, ids array<long>, score double")
-    each = found.select("q", "score", F.explode("ids").alias("vec_id"))
-    few = each.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r")
+
+    def first(visits: DataFrame) -> DataFrame:
+        """q, score, vec_id: the k + 1 nearest rows in the lists that are visited."""
+        load = visits.groupBy("length", "list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
+        cut = keep(size.join(load, ["length", "list"]), "cut")
+        cut = broadcast_if_small(cut, cut.count())
+        left = visits.join(cut, ["length", "list"]).select("length", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod("h", "shares").cast("int").alias("share"), "vector", "radius")
+        right = members.select("vector", "ids", length, "list").join(cut, ["length", "list"]).select("length", "list", F.pmod(F.xxhash64("vector", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vector", "ids")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "q binary, ids array<long>, score double")
+        each = found.select("q", "score", F.explode("ids").alias("vec_id"))
+        return each.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r")
+
+    few = keep(first(visits), "found")
+    full = few.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("q").alias("vector"))
+    short = keep(q.select("vector").join(full, "vector", "left_anti"), "short")
+    if short.count():
+        wide = short.select(F.xxhash64("vector").alias("h"), "vector", F.lit(float("inf")).alias("radius"), length).join(broadcast_if_small(size.select("length", "list"), size.count()), "length")
+        rest = few.join(short.withColumnRenamed("vector", "q"), "q", "left_anti")
+        few = rest.unionByName(first(wide))
     met = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")).join(few, "q").where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id", "q").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -424,6 +424,24 @@ def test_nearest(spark):
     assert ann.nearest(spark.createDataFrame([], VS), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_answers_are_whole(spark):
+    """A dense majority sets few probes; queries far from it still get as many answers as there are candidates."""
+    r = np.random.default_rng(11)
+    x = np.concatenate([c + r.normal(size=(60, 16)) * 0.05 for c in r.normal(size=(40, 16)) * 4] + [r.normal(size=(100, 16)) * 12])
+    rows = [(i if i < 2400 else (i - 2400) * 100 + 10_000, v.tolist()) for i, v in enumerate(x)] + [(100_000 * k, [float(k), 1.0, 2.0]) for k in range(1, 5)]
+    at = [(i, np.array(v)) for i, v in rows]
+    got = collections.defaultdict(list)
+    for a in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect():
+        got[a["query_id"]].append((a["rank"], a["vec_id"]))
+    hit = 0
+    asked = [(i, v) for i, v in at if i % 100 == 0]
+    for i, v in asked:
+        near = sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in at if j != i and len(w) == len(v))[:10]
+        assert sorted(a for a, _ in got[i]) == list(range(1, len(near) + 1))
+        hit += len({j for _, j in near} & {j for _, j in got[i]}) / len(near)
+    assert hit / len(asked) > 0.98
+
+
 def test_scan_gives_up_only_what_is_far():
     r = np.random.default_rng(7)
     x = r.normal(size=(500, 64))
