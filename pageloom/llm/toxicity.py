@@ -14,8 +14,10 @@ from .learning import SAMPLE, labelled
 
 BUCKETS = 1 << 18
 FACTORS = 8
-#: At most so many buckets, those most associated with the label either way, enter the machine.
-TERMS = 2048
+#: A weight is drawn to zero by so many standard errors of its own gradient, so that chance associations add little.
+SHRINK = 1.0
+#: Rows are learned from in at least so many parts, as their differences tell the errors.
+PARTS = 23
 HELD_OUT = (5, 0)
 _STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„‘’…¡¿–—"
 
@@ -76,55 +78,84 @@ class Words(dict):
 
 
 class Machine:
-    """bias + sum of weights + sum over pairs of <v_i, v_j>, through a sigmoid; terms are present or not."""
+    """bias + sum of weights + sum over pairs of <v_i, v_j> / number of terms, through a sigmoid; terms are present or not.
+
+    Terms are those of the rows it was fitted on; others have no weight that could be known.
+    """
 
     def __init__(self, slots: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
         self.slots, self.bias, self.w, self.v = slots, bias, w, v
 
     def score(self, at: np.ndarray) -> float:
-        v = self.v[at]
-        z = self.bias + self.w[at].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
+        v = self.v[at].astype(float)
+        z = self.bias + self.w[at].sum(dtype=float) + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum()) / max(1, len(at))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+class Part:
+    """Some rows' slots, row by row for sums over a row, and by slot for sums over a slot's rows."""
+
+    def __init__(self, rows: np.ndarray, at: list[np.ndarray]):
+        size = np.array([len(x) for x in at])
+        self.rows, self.at = rows, np.concatenate(at)
+        self.terms = np.maximum(size, 1).astype(np.float32)
+        self.some = np.flatnonzero(size)
+        self.first = (np.cumsum(size) - size)[self.some]
+        order = np.argsort(self.at, kind="stable")
+        self.row = np.repeat(np.arange(len(at), dtype=np.int32), size)[order]
+        self.slots, self.begins = np.unique(self.at[order], return_index=True)
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.rows), *x.shape[1:]), np.float32)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(x[self.at], self.first)
+        return out
+
+    def by_slot(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.row], self.begins) if len(self.slots) else np.zeros((0, *x.shape[1:]), np.float32)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 40, seed: int = 5) -> Machine:
-    """Logistic loss, Adam, ridge. Without both labels, the machine is its bias: the share of ones, smoothed."""
+    """Logistic loss, Adam, ridge, shrunk weights. Every term of the rows enters, however it relates to the label alone.
+
+    Without both labels, the machine is its bias: the share of ones, smoothed.
+    """
     n, ones = len(rows), int(labels.sum())
     base = (ones + 0.5) / (n + 1)
     slots = np.full(BUCKETS, -1, np.int32)
     bias = float(np.log(base / (1 - base)))
     if ones in (0, n):
         return Machine(slots, bias, np.zeros(1), np.zeros((1, FACTORS)))
-    seen, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for at, y in zip(rows, labels, strict=True):
-        seen[at] += 1
-        hit[at] += y
-    z = np.where(seen >= 5, (hit - seen * base) / np.sqrt(np.maximum(seen, 1) * base * (1 - base)), 0)
-    chosen = np.argsort(-np.abs(z), kind="stable")[:TERMS]
-    chosen = chosen[np.abs(z[chosen]) >= 4]
-    slots[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, max(1, len(chosen))), np.float32)
-    for i, at in enumerate(rows):
-        s = slots[at]
-        x[i, s[s >= 0]] = 1
+    seen = np.zeros(BUCKETS, bool)
+    for at in rows:
+        seen[at] = True
+    terms = int(seen.sum())
+    slots[seen] = np.arange(terms)
     rng = np.random.default_rng(seed)
-    p = [np.array([bias], np.float32), np.zeros(x.shape[1], np.float32), rng.normal(0, 0.02, (x.shape[1], FACTORS)).astype(np.float32)]
+    k = max(1, terms)
+    p = [np.array([bias], np.float32), np.zeros(k, np.float32), rng.normal(0, 0.02, (k, FACTORS)).astype(np.float32)]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     weight = np.where(labels == 1, 0.5 / base, 0.5 / (1 - base)).astype(np.float32)
+    parts = [Part(part, [slots[np.unique(rows[i])] for i in part]) for part in np.array_split(rng.permutation(n), max(min(n, PARTS), n // 256))]
+    shrink = np.float32(0.02 * SHRINK / np.sqrt(len(parts)))
     step = 0
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(n), max(1, n // 256)):
-            xb = x[part]
-            t = xb @ p[2]
-            z = p[0] + xb @ p[1] + 0.5 * ((t**2).sum(1) - xb @ (p[2] ** 2).sum(1))
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) * weight[part] / len(part)
-            g = [np.array([e.sum()]), xb.T @ e + 1e-4 * p[1], xb.T @ (e[:, None] * t) - p[2] * (xb.T @ e)[:, None] + 1e-3 * p[2]]
+        for j in rng.permutation(len(parts)):
+            b = parts[j]
+            t = b.by_row(p[2])
+            z = p[0] + b.by_row(p[1]) + 0.5 * ((t**2).sum(1) - b.by_row((p[2] ** 2).sum(1))) / b.terms
+            e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[b.rows]) * weight[b.rows] / len(b.rows)).astype(np.float32)
+            pair = e / b.terms
+            g = [np.array([e.sum()]), 1e-4 * p[1], 1e-2 * p[2]]
+            g[1][b.slots] += b.by_slot(e)
+            g[2][b.slots] += b.by_slot(pair[:, None] * t) - p[2][b.slots] * b.by_slot(pair)[:, None]
             step += 1
-            for k in range(3):
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                p[k] = (p[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return Machine(slots, float(p[0][0]), p[1].astype(float), p[2].astype(float))
+            for i in range(3):
+                m[i] = 0.9 * m[i] + 0.1 * g[i]
+                s[i] = 0.99 * s[i] + 0.01 * g[i] ** 2
+                p[i] = (p[i] - 0.02 * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            p[1] = np.sign(p[1]) * np.maximum(np.abs(p[1]) - shrink, 0)
+    return Machine(slots, float(p[0][0]), p[1], p[2])
 
 
 def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = HELD_OUT, rows: int = SAMPLE) -> Machine:
@@ -138,7 +169,7 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_ou
     got = labelled(documents, labels, label, held_out, rows).mapInArrow(run, "doc_id long, label int, at array<int>").toArrow()
     order = np.lexsort(([len(x) for x in got["at"]], got["doc_id"].to_numpy()))
     at = got["at"].combine_chunks() if got.num_rows else []
-    return fit([np.array(at[int(i)].values, np.int64) for i in order], got["label"].to_numpy()[order].astype(np.float32))
+    return fit([np.array(at[int(i)].values, np.int32) for i in order], got["label"].to_numpy()[order].astype(np.float32))
 
 
 def score(df: DataFrame, machine: Machine, held_out: tuple[int, int] = HELD_OUT, threshold: float = 0.5) -> DataFrame:

@@ -327,6 +327,25 @@ def test_interactions_are_learned():
         assert (np.array(got) == y).mean() > 0.9
 
 
+def test_terms_enter_whatever_they_do_alone():
+    """Pairs whose four terms are neutral alone, in longer texts; and a rare word somewhat over the base rate."""
+    r = np.random.default_rng(2)
+    rows, y = [], []
+    for i in range(2000):
+        a, b = i % 2, i // 2 % 2
+        rows.append(np.unique([1000 + a, 2000 + b, *r.integers(100, 400, 12)]))
+        y.append(float(a != b))
+    m = toxicity.fit(rows, np.array(y, np.float32), epochs=100)
+    assert (m.slots[[1000, 1001, 2000, 2001]] >= 0).all()
+    assert np.mean([(m.score(m.slots[x]) >= 0.5) == t for x, t in zip(rows, y, strict=True)]) > 0.95
+    new = [np.array([1000 + a, 2000 + b, *r.integers(100, 400, 12)]) for a in (0, 1) for b in (0, 1) for _ in range(50)]
+    assert np.mean([(m.score(m.slots[np.unique(x)]) >= 0.5) == ((x[0] - 1000) != (x[1] - 2000)) for x in new]) > 0.95
+    y = np.array([float(i % 10 == 0) for i in range(6000)], np.float32)
+    word = {0, 10, 20, 30, *range(1, 9)}
+    m = toxicity.fit([np.unique([*([7] if i in word else []), *r.integers(100, 400, 5)]) for i in range(6000)], y, epochs=10)
+    assert m.slots[7] >= 0 and m.w[m.slots[7]] > 0
+
+
 def test_quality(spark, none):
     rows, labels = [], []
     for i in range(300):
