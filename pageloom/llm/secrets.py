@@ -31,7 +31,7 @@ TOKENS = {
     "glpat-": re.compile(r"\bglpat-[A-Za-z0-9_-]{20,255}"),
     "PRIVATE KEY": re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}"),
 }
-#: Found with so many owners, a value is a copied example; with at most OWN owners and ENTROPY bits a character it looks live.
+#: Found with so many owners, or in so many repositories, a value is a copied example; any other with at most OWN owners and ENTROPY bits a character it looks live.
 EXAMPLE, OWN, ENTROPY = 3, 1, 3.0
 
 
@@ -64,10 +64,10 @@ def listed(found: list[tuple[int, int, int, str]]) -> str:
 def scan(df: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """Secrets of every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
-    Counts and digest are of the base patterns. `spans` lists these, by start, and further tokens that the ownership test
-    accepts. n_live and n_example count spans (base ones too) by that test: over the whole corpus, a value's distinct
-    owners and repositories are counted by its hash; EXAMPLE owners or more make it a copied example; OWN at most
-    (whatever the number of its copies there), with ENTROPY bits a character, make it live-looking. Owner and
+    Counts and digest are of the base patterns. `spans` lists these, by start, and further tokens of ENTROPY bits a
+    character that aren't copied examples. n_live and n_example count spans (base ones too) by that test: over the whole corpus, a value's distinct
+    owners and repositories are counted by its hash; EXAMPLE owners or repositories or more make it a copied
+    example; else OWN owners at most, with ENTROPY bits a character, make it live-looking. Owner and
     repository are expressions over df: by default `source`, and `source` with `lang`.
 
     Null and empty texts have none. A null owner or repository is one like any other. Rows come out one for one,
@@ -101,13 +101,14 @@ def scan(df: DataFrame, owner: Column | None = None, repository: Column | None =
     schema = "row long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, found array<struct<s:int,k:int,e:int,v:binary,h:double>>"
     own = keep(slim.mapInArrow(run, schema), "secrets")
     each = own.where("found IS NOT NULL").select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
-    spread = each.select("v", "owner", "repository").distinct().groupBy("v", "owner").agg(F.count("*").alias("r")).groupBy("v").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
+    spread = each.groupBy("v").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
     spread = keep(spread, "owners")
-    live = (F.col("owners") <= OWN) & (F.col("h") >= ENTROPY)
+    example = (F.col("owners") >= EXAMPLE) | (F.col("repositories") >= EXAMPLE)
+    rich = F.col("h") >= ENTROPY
     names = F.array(*(F.lit(k) for k in KINDS))
-    judged = each.join(spread, "v").select("row", "s", "k", "e", live.alias("live"), (F.col("owners") >= EXAMPLE).alias("example"))
+    judged = each.join(spread, "v").select("row", "s", "k", "e", (~example & rich & (F.col("owners") <= OWN)).alias("live"), example.alias("example"), (~example & rich).alias("kept"))
     # A row's spans are no more than its own text holds.
-    by_row = judged.where("k < 3 OR live").groupBy("row").agg(
+    by_row = judged.where("k < 3 OR kept").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("all"), F.count_if("live").alias("n_live"), F.count_if("example").alias("n_example")
     )
     by_row = by_row.select("row", F.array_join(F.transform("all", lambda x: F.concat(F.element_at(names, x["k"] + 1), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",").alias("spans"), "n_live", "n_example")

@@ -291,6 +291,14 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_by_owners_and_repositories(spark):
+    twice, spread = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT", "glpat-" + "Zx8Cv7Bn6Mq5Wr4Ty3Up2"
+    rows = [(1, twice, "en", "s1"), (2, twice, "en", "s2"), *((3 + i, spread, x, "s1") for i, x in enumerate(("en", "de", "fr")))]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [(got[i]["spans"], got[i]["n_live"], got[i]["n_example"]) for i in (1, 2)] == [("token:0:24", 0, 0)] * 2
+    assert all((got[i]["spans"], got[i]["n_live"]) == ("", 0) for i in (3, 4, 5))
+
+
 def test_toxicity(spark, none):
     r = random.Random(3)
     rows, labels = [], []
