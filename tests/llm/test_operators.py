@@ -299,6 +299,14 @@ def test_secrets_by_owners_and_repositories(spark):
     assert all((got[i]["spans"], got[i]["n_live"]) == ("", 0) for i in (3, 4, 5))
 
 
+def test_tokens_of_any_length_are_whole():
+    run, key = "aB3dE5gH7j" * 1000, "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab3+" * 5000 + "\n-----END RSA PRIVATE KEY-----"
+    for x in ("ghp_" + run, "xoxb-" + run, f"eyJ{run}.{run}.{run}", "sk_live_" + run, "glpat-" + run, key):
+        assert secrets.more_of(f"a {x}, b") == [(2, 3, 2 + len(x), x)]
+    long = "eyJabcdefgh-" * 100_000
+    assert secrets.more_of(long + " eyJabcdefgh.eyJabcdefgh." + "x" * 9)[0][3] == "eyJabcdefgh.eyJabcdefgh." + "x" * 9 and not secrets.more_of(long)
+
+
 def test_toxicity(spark, none):
     r = random.Random(3)
     rows, labels = [], []
