@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,16 +25,29 @@ def domain_of(source: Column) -> Column:
     return F.when(number == "", F.lit("other")).otherwise(F.concat(F.lit("d"), (number.cast("long") % 4).cast("string")))
 
 
-def weight_of(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
-    """A node's whole-number weight among its siblings, by its own name; 1 unless named."""
-    named = weights.get(level) or {}
-    out = F.lit(1).cast("long")
+def whole(named: Mapping[str, float] | None) -> tuple[int, dict[str, int]]:
+    """Weights as whole numbers in the same proportion: (that of nodes without a name, by name). Fractions count in millionths.
+
+    A weight that is negative, not finite, over a million, or above 0 and below a millionth can't be kept to: ValueError.
+    """
+    named = dict(named or {})
+    unit = 1 if all(float(w).is_integer() for w in named.values() if math.isfinite(w)) else 1_000_000
+    out = {k: round(w * unit) if math.isfinite(w) else -1 for k, w in named.items()}
+    if bad := [k for k, w in named.items() if not 0 <= out[k] <= unit * 1_000_000 or (w > 0) != (out[k] > 0)]:
+        raise ValueError(f"weights of {', '.join(map(str, bad))} must be 0, or from a millionth to a million")
+    return unit, out
+
+
+def weight_of(level: str, weights: Mapping[str, Mapping[str, float]]) -> Column:
+    """A node's whole-number weight among its siblings, by its own name; that of 1 unless named."""
+    unit, named = whole(weights.get(level))
+    out = F.lit(unit).cast("long")
     for name, w in named.items():
-        out = F.when(F.col(level) == name, F.lit(int(w)).cast("long")).otherwise(out)
+        out = F.when(F.col(level) == name, F.lit(w).cast("long")).otherwise(out)
     return out
 
 
-def share(nodes: DataFrame, parents: DataFrame | None, keys: Sequence[str], level: str, weights: Mapping[str, Mapping[str, int]], budget: Column | None) -> DataFrame:
+def share(nodes: DataFrame, parents: DataFrame | None, keys: Sequence[str], level: str, weights: Mapping[str, Mapping[str, float]], budget: Column | None) -> DataFrame:
     """Budgets of the nodes of one level: filled like vessels, each up to its capacity, the rest by weight.
 
     Children are taken by how soon they are full (capacity / weight). A full one gets its capacity and what it
@@ -41,24 +55,33 @@ def share(nodes: DataFrame, parents: DataFrame | None, keys: Sequence[str], leve
     seen already as capacity. Whole numbers throughout: running sums rounded down, so that none is lost.
     """
     at = nodes.join(parents.withColumnRenamed("budget", "given"), list(keys)) if keys else nodes.withColumn("given", budget)
-    at = at.withColumn("w", weight_of(level, weights)).where("w > 0")
+    at = at.withColumn("w", weight_of(level, weights))
+    at = at.withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("capacity", "given", "w")})
     by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     # capacity / weight is compared exactly enough as a decimal; ties go by name.
-    order = by.orderBy((F.col("capacity").cast("decimal(20,0)") / F.col("w").cast("decimal(10,0)")), F.col(level))
+    order = by.orderBy(F.col("capacity") / F.col("w").cast("decimal(18,0)"), F.col(level))
     before = order.rowsBetween(W.unboundedPreceding, -1)
+    # Products of tokens and weights may pass 64 bits.
+    d = lambda c: c.cast("decimal(19,0)")
     at = at.withColumn("caps", F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("ws", F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing)))
-    at = at.withColumn("full", F.col("capacity") * F.col("ws") <= (F.col("given") - F.col("caps")) * F.col("w"))
+    at = at.withColumn("full", d(F.col("capacity")) * d(F.col("ws")) <= d(F.col("given") - F.col("caps")) * d(F.col("w")))
     # Once one isn't full, none after it is.
     at = at.withColumn("full", F.min(F.col("full").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)) == 1)
     at = at.withColumn("rest", F.col("given") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(by), F.lit(0))).withColumn("rest", F.greatest("rest", F.lit(0)))
     at = at.withColumn("all_w", F.sum(F.when(~F.col("full"), F.col("w"))).over(by)).withColumn("up_to", F.sum(F.when(~F.col("full"), F.col("w"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    drawn = F.expr("(rest * up_to) div all_w - (rest * (up_to - w)) div all_w")
-    return at.select(*keys, level, F.when(F.col("full"), F.col("capacity")).otherwise(drawn).alias("budget"))
+    at = at.withColumns({c: d(F.col(c)) for c in ("rest", "up_to", "w", "all_w")})
+    drawn = F.expr("(rest * up_to) div all_w - (rest * CAST(up_to - w AS decimal(19,0))) div all_w")
+    return at.select(*keys, level, F.when(F.col("full"), F.col("capacity")).otherwise(drawn).cast("long").alias("budget"))
 
 
-def budgets(leaves: DataFrame, total: Column, weights: Mapping[str, Mapping[str, int]], levels: Sequence[str] = LEVELS) -> DataFrame:
-    """leaves: the level columns and capacity (tokens that they can give). Returns the level columns and budget."""
+def budgets(leaves: DataFrame, total: Column, weights: Mapping[str, Mapping[str, float]], levels: Sequence[str] = LEVELS) -> DataFrame:
+    """leaves: the level columns and capacity (tokens that they can give). Returns the level columns and budget.
+
+    What a weight of 0 excludes, at any level, is no capacity of its ancestors, and has no row in the result.
+    """
     got = None
+    for level in levels:
+        leaves = leaves.where(weight_of(level, weights) > 0)
     for i, level in enumerate(levels):
         keys = list(levels[:i])
         nodes = leaves.groupBy(*levels[: i + 1]).agg(F.sum("capacity").alias("capacity"))
@@ -72,7 +95,7 @@ def order_key(doc_id: Column, seed: int, epoch: Column) -> Column:
 
 
 def mix(
-    df: DataFrame, weights: Mapping[str, Mapping[str, int]] | None = None, part: tuple[int, int] = (1, 2), max_epochs: int = 2, seed: int = 17, domain: Column | None = None
+    df: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = None, part: tuple[int, int] = (1, 2), max_epochs: int = 2, seed: int = 17, domain: Column | None = None
 ) -> DataFrame:
     """Draw documents so that domains, languages and sources hold their target shares of the tokens.
 
@@ -84,7 +107,8 @@ def mix(
 
     Null lang, source or text stand for empty ones in the budgets (the rows themselves stay as they are). Documents
     without words are never drawn in a last, partial epoch beyond the budget, but belong to whole epochs. Rows
-    that share a doc_id are drawn together. Weights below 1 exclude a node. An empty table gives an empty one.
+    that share a doc_id are drawn together. Weights may be fractions (kept to millionths); a weight of 0 excludes a node,
+    whose tokens still count in the total. An empty table gives an empty one.
 
     No row of the documents is shuffled: leaves, and hash ranges of leaves, are summed map-side first; only the range
     in which a leaf's prefix ends is sorted, 1/4096 of the leaf; the plan (a row per leaf) is broadcast if it has at
@@ -118,12 +142,13 @@ def mix(
     return met.withColumn("_taken", taken).where("_taken > 0").select(*cols, F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)).alias("epoch"))
 
 
-def mix_sql(weights: Mapping[str, Mapping[str, int]], part: tuple[int, int], max_epochs: int, seed: int, columns: str = "doc_id, lang, source, epoch", table: str = "documents") -> str:
+def mix_sql(weights: Mapping[str, Mapping[str, float]], part: tuple[int, int], max_epochs: int, seed: int, columns: str = "doc_id, lang, source, epoch", table: str = "documents") -> str:
     """The same draw in SQL, with plain windows: what mix() is held against."""
 
     def case(level: str) -> str:
-        named = "".join(f" WHEN {level} = '{k}' THEN {v}" for k, v in (weights.get(level) or {}).items())
-        return f"CASE{named} ELSE 1 END" if named else "1"
+        unit, by_name = whole(weights.get(level))
+        named = "".join(f" WHEN {level} = '{k}' THEN {v}" for k, v in by_name.items())
+        return f"CASE{named} ELSE {unit} END" if named else f"{unit}"
 
     steps, keys = [], []
     for i, level in enumerate(LEVELS):
@@ -133,8 +158,8 @@ def mix_sql(weights: Mapping[str, Mapping[str, int]], part: tuple[int, int], max
         source = f"n{i} JOIN b{i - 1} USING ({on})" if keys else "n0, total"
         order = f"{by} ORDER BY CAST(capacity AS DOUBLE) / w, {level}"
         steps.append(f"""
-n{i} AS (SELECT {upto}, sum(n) * {max_epochs} AS capacity, {case(level)} AS w FROM leaves GROUP BY ALL),
-s{i} AS (SELECT *, coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {source} WHERE w > 0),
+n{i} AS (SELECT {upto}, sum(n) * {max_epochs} AS capacity, {case(level)} AS w FROM used GROUP BY ALL),
+s{i} AS (SELECT *, coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {source}),
 f{i} AS (SELECT *, min(CASE WHEN capacity * ws <= (given - caps) * w THEN 1 ELSE 0 END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM s{i}),
 r{i} AS (SELECT *, greatest(given - coalesce(sum(CASE WHEN filled = 1 THEN capacity END) OVER ({by}), 0), 0) AS rest, sum(CASE WHEN filled = 0 THEN w END) OVER ({by}) AS all_w, sum(CASE WHEN filled = 0 THEN w END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to FROM f{i}),
 b{i} AS (SELECT {upto}, CASE WHEN filled = 1 THEN capacity ELSE (rest * up_to) // all_w - (rest * (up_to - w)) // all_w END AS given FROM r{i})""")
@@ -144,7 +169,8 @@ b{i} AS (SELECT {upto}, CASE WHEN filled = 1 THEN capacity ELSE (rest * up_to) /
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS HUGEINT) AS n FROM {table}),
 docs AS (SELECT *, CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) = '' THEN 'other' ELSE 'd' || CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4 AS VARCHAR) END AS domain FROM d),
 leaves AS (SELECT {lv}, sum(n) AS n FROM docs GROUP BY ALL),
-total AS (SELECT coalesce(sum(n), 0) * {part[0]} // {part[1]} AS given FROM leaves),{','.join(steps)},
+total AS (SELECT coalesce(sum(n), 0) * {part[0]} // {part[1]} AS given FROM leaves),
+used AS (SELECT * FROM leaves WHERE {' AND '.join(case(x) + ' > 0' for x in LEVELS)}),{','.join(steps)},
 p AS (SELECT {lv}, CASE WHEN n > 0 THEN given // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN given % n ELSE 0 END AS rest FROM b{len(LEVELS) - 1} JOIN leaves USING ({lv})),
 k AS (SELECT docs.*, whole, rest, md5('{seed}:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM docs JOIN p USING ({lv})),
 c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {lv} ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - sum(n) OVER (PARTITION BY {lv}, key) AS start FROM k),
