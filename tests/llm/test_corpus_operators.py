@@ -493,6 +493,10 @@ def test_pivots(spark):
             assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i], root[i], root[i] == i), i
     assert got[None]["component_id"] is None
     assert pivots.near_duplicates(spark.createDataFrame([], VS)).count() == 0
+    split = {tuple(r) for r in pivots.near_duplicates(spark.createDataFrame(rows, VS), block=6).collect()}
+    assert split == {tuple(r) for r in got.values()}
+    plain = spark.createDataFrame(rows, VS).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert sum(r["n_links"] for r in pivots.near_duplicates(plain, block=6).collect()) == sum(links.values())
 
 
 def test_nearest(spark):
@@ -538,5 +542,39 @@ def test_scan_gives_up_only_what_is_far():
     q = x[0] + 0.1
     turn = np.linalg.qr(r.normal(size=(64, 64)))[0]
     exact = ((x - q) ** 2).sum(1)
-    at, d = ann.scan(q, np.concatenate((q[None], x)) @ turn, x, np.sort(exact)[10], 10)
-    assert set(np.argsort(exact)[:9]) <= set(at.tolist()) and np.allclose(d, exact[at])
+    for radius in (np.sort(exact)[10], float("inf")):
+        at, d = ann.scan(q, q @ turn, x @ turn, x, radius, 10)
+        assert set(np.argsort(exact)[:9]) <= set(at.tolist()) and np.allclose(d, exact[at])
+    at, _ = ann.scan(q, q @ turn, x @ turn, x, float("inf"), 10, np.arange(500) == 0)
+    assert 0 not in at and len(at) >= 10
+    y = np.repeat(x, 5, 0)  # more candidates than one CHUNK, all tied fivefold
+    at, d = ann.scan(q, q @ turn, y @ turn, y, float("inf"), 10)
+    assert len(at) >= 10 and d.max() <= np.sort(np.repeat(exact, 5))[9] + 1e-9
+
+
+def test_two_levels_of_lists(monkeypatch):
+    monkeypatch.setattr(ann, "COARSE", 8)
+    r = np.random.default_rng(3)
+    x = np.concatenate([c + r.normal(size=(40, 8)) * 0.3 for c in r.normal(size=(30, 8)) * 3])
+    i = ann.Index(x, 60, 5)
+    assert i.lists == 64 and len(i.centroids()) == 64 and set(i.homes) <= set(range(64))
+    home, away = i.home(x)
+    assert np.allclose(away, np.sqrt(((x - i.centroids()[home]) ** 2).sum(1)))
+    i.extent = np.array([away[home == j].max(initial=0) for j in range(64)])
+    exact = ((x[:50, None] - x[None]) ** 2).sum(2)
+    k = np.sort(exact, 1)[:, 5]
+    first, _ = i.first(x[:50])
+    for q, (a, b) in enumerate(zip(first, i.rest(x[:50], k), strict=True)):
+        assert not set(a) & set(b) and set(home[exact[q] <= k[q]]) <= set(a) | set(b)
+
+
+def test_own_rows_take_no_places(spark):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(30, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x, 1)] + [(100, (x[0] + k / 100).tolist()) for k in range(15)] + [(100, x[1].tolist()), (200, x[0].tolist())]
+    got = collections.defaultdict(list)
+    for a in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect():
+        got[a["query_id"]].append((a["rank"], a["vec_id"]))
+    assert len(got[100]) == 16 * 10 and all(j != 100 for _, j in got[100]) and len(got[200]) == 10
+    near = np.argsort((((np.float32(x) - np.float32(x[1])).astype(float)) ** 2).sum(1), kind="stable")
+    assert sum(a in got[100] for a in [(1, 2)]) and near[0] == 1
