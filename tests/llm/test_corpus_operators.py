@@ -55,9 +55,14 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 100}
     assert components(links.where("a < 0")).isEmpty()
+    hub = spark.createDataFrame([(5000, i) for i in range(1, 2500)] + [(i, 9000) for i in range(3000, 4500)] + [(4000, 2000)], "a long, b long")
+    assert {r["root"] for r in components(hub).collect()} == {1}
 
 
-def test_near_duplicates(docs, none):
+@pytest.mark.parametrize(("few", "bucket"), [(minhash.FEW, minhash.BUCKET), (1, 2)])
+def test_near_duplicates(docs, none, monkeypatch, few, bucket):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
     shingles = {}
     for i, t in ROWS:
         w = words_of(t or "")
@@ -103,6 +108,37 @@ def test_near_duplicates_within_open_groups(spark):
     assert got == root and len(set(root.values())) < 12
 
 
+def test_template_makes_no_meeting(spark, monkeypatch):
+    """Texts that share 60 % of their words by a template are alike, and none is near another but two planted copies."""
+    r = random.Random(9)
+    common = prose(120, 77).split()
+    rows = [(i, " ".join([*common, *(f"{r.choice(VOCAB)}{r.randrange(10**6)}" for _ in range(80))])) for i in range(300)]
+    rows += [(1000, rows[7][1] + " end"), (1001, rows[250][1].replace(" ", "  "))]
+    met = []
+    monkeypatch.setattr(minhash, "_meetings", lambda placed, *a, orig=minhash._meetings: met.append(placed.count()) or orig(placed, *a))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {1000: 7, 1001: 250} and met == [0]
+
+
+def test_likely_pairs_of_a_bucket():
+    """Members of different labels: what connects them is found, by rows and by blocks."""
+    r = np.random.default_rng(4)
+    base = [r.integers(0, 1 << 63, 300, np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate((base[k % 3][r.random(300) > 0.03], r.integers(0, 1 << 63, 5, np.uint64)))) for k in range(24)]
+    regs, n, ids = np.stack([minhash.registers(s) for s in sets]), np.array([len(s) for s in sets]), np.arange(24) * 7
+    a = np.arange(24)
+    got = [*minhash._within(ids, ids, n, regs, a, a, 0.64)]
+    root = {i: i for i in range(24)}
+    for x, y, _ in got:
+        for i, k in zip(x.tolist(), y.tolist(), strict=True):
+            root = {v: min(root[i], root[k]) if w in (root[i], root[k]) else w for v, w in root.items()}
+    assert root == {i: i % 3 for i in range(24)} and sum(len(x) for x, *_ in got) <= 2 * 24
+    up, down = (regs[:, None] > regs[None]).sum(2).ravel(), (regs[:, None] < regs[None]).sum(2).ravel()
+    na, nb = np.repeat(n, 24).astype(float), np.tile(n, 24).astype(float)
+    each = minhash.estimate(np.repeat(regs, 24, 0), np.tile(regs, (24, 1)), na, nb)
+    assert (minhash.reaches(0.64, up, down, na, nb) == (each >= 0.64)).all()
+
+
 def test_same_id_with_other_texts(spark):
     rows = spark.createDataFrame([(1, prose(50, 1)), (1, prose(50, 2)), (2, prose(50, 3))], "doc_id long, text string")
     got = minhash.near_duplicates(rows).collect()
