@@ -18,6 +18,8 @@ GRAM, STRETCH = 99, 1 << 20
 MERGE_BYTES = 4 << 20
 #: Contexts of one core that are compared as a table; beyond that, by classes.
 TABLE = 512
+#: A core with more occurrences than this isn't merged in one task: its strings are grouped by digest instead.
+HOT = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = np.random.default_rng(0xB17E).integers(1, 1 << 63, 256, np.uint64)
@@ -85,13 +87,13 @@ class Cut:
         return np.concatenate(hashes)[i], s
 
 
-# Runs: sorted strings, each without the bytes that it shares with the one before.
+# Runs: sorted suffixes, each without the bytes that it shares with the one before.
 
 
-def encode_run(records: list[tuple[bytes, bytes, int, int]]) -> bytes:
-    """records: (string, left flank reversed, text, start), sorted by string. Numbers are varints."""
+def encode_run(records: list[tuple[bytes, bytes, bytes, int]]) -> bytes:
+    """records: (suffix, left flank reversed, digest of 16 bytes, times), sorted by suffix. Numbers are varints."""
     out, last = bytearray(), b""
-    for s, left, text, start in records:
+    for s, left, digest, times in records:
         k, most = 0, min(len(last), len(s))
         if s[:most] == last[:most]:
             k = most
@@ -99,11 +101,12 @@ def encode_run(records: list[tuple[bytes, bytes, int, int]]) -> bytes:
             while last[k] == s[k]:
                 k += 1
         rest = s[k:]
-        for v in (k, len(rest), len(left), text, start + 1):
+        for v in (k, len(rest), len(left), times):
             while v > 127:
                 out.append(v & 127 | 128)
                 v >>= 7
             out.append(v)
+        out += digest
         out += rest
         out += left
         last = s
@@ -113,7 +116,7 @@ def encode_run(records: list[tuple[bytes, bytes, int, int]]) -> bytes:
 class Run:
     """The head of a run while it is merged: its string, and how much of it is known to equal the last output."""
 
-    __slots__ = ("at", "known", "left", "raw", "s", "start", "text")
+    __slots__ = ("at", "digest", "known", "left", "raw", "s", "times")
 
     def __init__(self, raw: bytes):
         self.raw, self.at, self.s = raw, 0, b""
@@ -125,7 +128,7 @@ class Run:
             self.s = None
             return
         got = []
-        for _ in range(5):
+        for _ in range(4):
             v = shift = 0
             while raw[i] > 127:
                 v |= (raw[i] & 127) << shift
@@ -133,8 +136,9 @@ class Run:
                 i += 1
             got.append(v | raw[i] << shift)
             i += 1
-        k, n, m, self.text, self.start = got
-        self.start -= 1
+        k, n, m, self.times = got
+        self.digest = raw[i : i + 16]
+        i += 16
         self.s = self.s[:k] + raw[i : i + n]
         self.left = raw[i + n : i + n + m]
         self.at = i + n + m
@@ -162,8 +166,8 @@ def loses(a: Run, b: Run) -> bool:
     return after
 
 
-def merge(runs: list[bytes]) -> Iterator[tuple[bytes, int, bytes, int, int]]:
-    """(string, bytes shared with the string before, left flank reversed, text, start) of all runs in order: a loser tree
+def merge(runs: list[bytes]) -> Iterator[tuple[bytes, int, bytes, bytes, int]]:
+    """(suffix, bytes shared with the suffix before, left flank reversed, digest, times) of all runs in order: a loser tree
     whose nodes keep the loser with its known prefix, so that no byte known to be equal is compared again."""
     heads = [Run(r) for r in runs]
     for h in heads:
@@ -188,7 +192,7 @@ def merge(runs: list[bytes]) -> Iterator[tuple[bytes, int, bytes, int, int]]:
     place = {id(h): i + size for i, h in enumerate(heads)}
     winner = play(1) if size > 1 else heads[0]
     while winner.s is not None:
-        yield winner.s, winner.known, winner.left, winner.text, winner.start
+        yield winner.s, winner.known, winner.left, winner.digest, winner.times
         winner.next()
         node = place[id(winner)] // 2
         while node:
@@ -259,41 +263,51 @@ def reach(right: list[bytes], right_shared: np.ndarray, left: list[bytes], copie
     return far_l, far_r
 
 
-def covered(run_blobs: list[bytes], cut: Cut) -> Iterator[tuple[int, int, int]]:
-    """(text, first byte, end) of the repeated strings around every core of the merged runs."""
+def covered(run_blobs: list[bytes], cut: Cut) -> Iterator[tuple[bytes, int, int]]:
+    """(digest, bytes left, bytes right of the core) of every context of the merged runs that has a repeated string."""
     group: dict[tuple[bytes, bytes], list] = {}
-    right: list[bytes] = []
-    shared: list[int] = []
-    core = None
 
-    def flush() -> Iterator[tuple[int, int, int]]:
-        if not group or len(group) == 1 and len(next(iter(group.values()))[2]) < 2 and next(iter(group.values()))[3] < 2:
+    def flush() -> Iterator[tuple[bytes, int, int]]:
+        if not group or len(group) == 1 and next(iter(group.values()))[3] < 2:
             return
         items = list(group.values())
         far_l, far_r = reach([x[0] for x in items], np.array([x[4] for x in items]), [x[1] for x in items], np.array([x[3] for x in items]), cut.flank)
-        for (_, _, places, _, _), a, b in zip(items, far_l.tolist(), far_r.tolist(), strict=True):
+        for (_, _, digest, _, _), a, b in zip(items, far_l.tolist(), far_r.tolist(), strict=True):
             if a >= 0:
-                for text, start in places:
-                    if start >= 0:
-                        yield text, start - a, start + cut.core + b
+                yield digest, a, b
 
     low = 1 << 30
-    for s, known, left, text, start in merge(run_blobs):
-        if s[:8] != core:
+    for s, known, left, digest, times in merge(run_blobs):
+        if known < cut.core:  # another core begins
             yield from flush()
-            group, core, low = {}, s[:8], 1 << 30
-        low = min(low, max(known - 8, 0)) if group else 0
-        key = (s[8:], left)
+            group, low = {}, 1 << 30
+        low = min(low, known - cut.core) if group else 0
+        key = (s[cut.core :], left)
         item = group.get(key)
         if item is None:
             # Shared with the last new context: the least of what was shared since.
-            group[key] = item = [s[8:], left, [], 0, low]
+            group[key] = item = [*key, digest, 0, low]
             low = 1 << 30
-        item[2].append((text, start))
-        item[3] += 1
+        item[3] += times
     yield from flush()
 
 
+def grouped(contexts: DataFrame, cut: Cut) -> DataFrame:
+    """What covered() returns, for contexts (digest, core, left, right, times) of cores that very many texts hold: each context's
+    strings are rows, and equal ones meet by their own digest, so no core's contexts meet in one task."""
+    one = keep(contexts.groupBy("digest").agg(F.first("core").alias("core"), F.first("left").alias("left"), F.first("right").alias("right"), F.sum("times").alias("times")), "hot")
+    ll, rl = F.octet_length("left"), F.octet_length("right")
+    own = one.where("times > 1").select("digest", ll.alias("a"), rl.alias("b"))
+    bytes_ = lambda c, n: F.substring(c, F.lit(1), n)
+    a = F.col("a")
+    string = F.concat("core", F.lpad(a.cast("string"), 6, "0").cast("binary"), bytes_(F.col("left"), a), bytes_(F.col("right"), F.lit(cut.flank) - a))
+    each = one.where(ll + rl >= cut.flank).select("digest", "core", "left", "right", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(cut.flank) - rl), F.least(F.lit(cut.flank), ll))).alias("a"))
+    each = keep(each.select("digest", "a", F.unhex(F.md5(string)).alias("string")), "strings")
+    many = each.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    met = each.join(keep(many, "many"), "string").groupBy("digest").agg(F.max("a").alias("a"), (F.lit(cut.flank) - F.min("a")).alias("b"))
+    return own.unionByName(met).groupBy("digest").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+
+
 def repeats(df: DataFrame, size: int = 400, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Each text as UTF-8 bytes; every byte in a string of `size` bytes that starts anywhere else too (in any text, the same
     one included; overlaps count) is removed.
@@ -305,10 +319,12 @@ def repeats(df: DataFrame, size: int = 400, text: str = "text", id_column: str =
     empty one.
 
     Texts are told apart by digest, so copies are sorted once. Only suffixes at sampled places (Cut) are sorted, about
-    one in seventy-five bytes, and of these only those whose core occurs twice: no repeated string is without one.
-    Each task sorts its own, front-codes them, and sends a run to each merge; merges are loser trees over runs.
-    Equal strings always meet in one merge. A core that very many texts share costs its distinct surroundings (at most
-    `size` bytes each, equal ones front-coded away), which is what one merge must hold.
+    one in seventy-five bytes, and of these only those whose core occurs twice by its hash: no repeated string is without
+    one. What is sorted is the suffix itself, from its core's first byte on; the bytes before it go along. Each task
+    sorts its own, front-codes them, and sends a run to each merge; merges are loser trees over runs. Equal suffixes
+    always meet in one merge, a task sends equal ones once, and where they stand isn't sent: places are joined to the outcome
+    by a digest of 16 bytes. So a merge holds the distinct surroundings of its cores, one core's at a time; those of a
+    core with more than HOT occurrences don't go to a merge at all (grouped).
     """
     cut = Cut(size)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -331,58 +347,80 @@ def repeats(df: DataFrame, size: int = 400, text: str = "text", id_column: str =
     whole = keep(single.where(f"rows > 1 AND n >= {size}").select("key"), "copies")
     one = base.where(f"n_bytes >= {size}").groupBy("key").agg(F.first("cores").alias("cores"))
     cores = keep(one.select("key", F.explode("cores").alias("core")), "cores")
-    twice = keep(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "twice")
-    found = cores.join(twice, "core").groupBy("key").agg(F.collect_set("core").alias("cores"))
+    twice = keep(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", (F.col("n") > HOT).alias("hot")), "twice")
+    found = cores.join(twice, "core").groupBy("key").agg(F.collect_set("core").alias("cores"), F.collect_set(F.when(F.col("hot"), F.col("core"))).alias("hot"))
     met = keep(docs.select("key", "raw").dropDuplicates(["key"]).join(found, "key").withColumn("text", F.monotonically_increasing_id()), "met")
     drop(cores)
     total = met.agg(F.sum(F.size("cores"))).first()[0] or 0
-    merges = int(max(1, -(-total * 2 * cut.flank // MERGE_BYTES)))
+    merges = int(max(1, -(-total * (2 * cut.flank + cut.core) // MERGE_BYTES)))
+    columns = {"merge": pa.int32(), "run": pa.binary(), "digest": pa.binary(), "core": pa.binary(), "left": pa.binary(), "right": pa.binary(), "times": pa.int32(), "text": pa.int64(), "s": pa.int64(), "e": pa.int64()}
 
     def runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted runs by merge, and intervals that a text repeats within itself (merge -1)."""
-        parts: dict[int, list] = {}
-        local: list[tuple[int, int, int]] = []
+        """Rows of four sorts: sorted runs by merge (merge >= 0); places of contexts (-1); intervals that a text repeats
+        within itself (-2); contexts of hot cores (-3)."""
+        own: dict[tuple[bytes, bytes], list] = {}
+        rows: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            keys = sorted(parts)
-            blobs = [encode_run(sorted(parts[k])) for k in keys]
-            n = len(local)
-            out = pa.RecordBatch.from_arrays([pa.array([*keys, *[-1] * n], pa.int32()), pa.array([*blobs, *[None] * n], pa.binary()), *(pa.array([*[None] * len(keys), *(x[i] for x in local)], pa.int64()) for i in range(3))], ["merge", "run", "text", "s", "e"])
-            parts.clear()
-            local.clear()
+            parts: dict[int, list] = {}
+            for (suffix, left), (digest, times, c, hot) in own.items():
+                if hot:
+                    core = hashlib.blake2b(suffix[: cut.core], digest_size=16).digest()
+                    rows.append((-3, None, digest, core, left, suffix[cut.core :], times, None, None, None))
+                else:
+                    parts.setdefault(c % merges, []).append((suffix, left, digest, times))
+            rows.extend((k, encode_run(sorted(v)), *[None] * 8) for k, v in sorted(parts.items()))
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())], list(columns))
+            own.clear()
+            rows.clear()
             return out
 
         for b in batches(it, 64):
-            for text_id, x, wanted in zip(b["text"].to_pylist(), b["raw"].to_pylist(), b["cores"], strict=True):
+            for text_id, x, wanted, hot_cores in zip(b["text"].to_pylist(), b["raw"].to_pylist(), b["cores"], b["hot"].to_pylist(), strict=True):
                 h, at = cut.cores(x)
-                here: dict[tuple, list[int]] = {}
+                here: dict[tuple[bytes, bytes], list[int]] = {}
+                code: dict[tuple[bytes, bytes], int] = {}
                 for i in np.flatnonzero(np.isin(h, wanted.values.to_numpy())).tolist():
-                    c, s = int(h[i]), int(at[i])
-                    here.setdefault((c, x[max(0, s - cut.flank) : s][::-1], x[s + cut.core : s + cut.core + cut.flank]), []).append(s)
-                for (c, left, right), starts in here.items():
-                    s = starts[0]
+                    s = int(at[i])
+                    key = (x[s : s + cut.core + cut.flank], x[max(0, s - cut.flank) : s][::-1])
+                    here.setdefault(key, []).append(s)
+                    code[key] = int(h[i])
+                for key, starts in here.items():
+                    (suffix, left), c = key, code[key]
+                    item = own.get(key)
+                    if item is None:
+                        d = hashlib.blake2b(left, digest_size=16, salt=len(left).to_bytes(4, "big"))
+                        d.update(suffix)
+                        own[key] = item = [d.digest(), 0, c, c in hot_cores]
+                        held += len(suffix) + len(left) + 300
+                    item[1] = min(2, item[1] + len(starts))
                     if len(starts) > 1:  # the same surroundings twice in one text: all of them repeat
-                        if len(left) + len(right) >= cut.flank:
-                            local.extend((text_id, y - len(left), y + cut.core + len(right)) for y in starts)
-                        s = -1
-                    parts.setdefault(c % merges, []).append((c.to_bytes(8, "big", signed=True) + right, left, text_id, s))
-                    held += len(left) + len(right) + 200
-            if held > 64 << 20:
+                        rows.extend((-2, *[None] * 6, text_id, y - len(left), y + len(suffix)) for y in starts)
+                    else:
+                        rows.append((-1, None, item[0], *[None] * 4, text_id, starts[0], None))
+            if held > 64 << 20 or len(rows) > 1 << 17:
                 held = 0
                 yield flush()
-        if parts or local:
+        if own or rows:
             yield flush()
 
-    sent = keep(met.select("text", "raw", "cores").mapInArrow(runs, "merge int, run binary, text long, s long, e long"), "runs")
+    sent = keep(met.select("text", "raw", "cores", "hot").mapInArrow(runs, "merge int, run binary, digest binary, core binary, left binary, right binary, times int, text long, s long, e long"), "runs")
 
     def join_runs(t: pa.Table) -> pa.Table:
         out = list(covered(t["run"].to_pylist(), cut))
-        return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("text", "s", "e"))})
-
-    merged = sent.where("merge >= 0").select("merge", "run").groupBy("merge").applyInArrow(join_runs, "text long, s long, e long")
+        return pa.table({"digest": pa.array([x[0] for x in out], pa.binary()), "a": pa.array([x[1] for x in out], pa.int32()), "b": pa.array([x[2] for x in out], pa.int32())})
+
+    outcome = sent.where("merge >= 0").select("merge", "run").groupBy("merge").applyInArrow(join_runs, "digest binary, a int, b int")
+    hot = sent.where("merge = -3").select("digest", "core", "left", "right", "times")
+    if not hot.isEmpty():
+        outcome = outcome.unionByName(grouped(hot, cut))
+    outcome = keep(outcome, "outcome")
+    # Both sides stand in written tables, so that adaptive execution may split a context with very many places.
+    placed = sent.where("merge = -1").select("digest", "text", "s").join(outcome, "digest").select("text", (F.col("s") - F.col("a")).alias("s"), (F.col("s") + cut.core + F.col("b")).alias("e"))
+    merged = placed.unionByName(sent.where("merge = -2").select("text", "s", "e"))
     # A text's intervals are no more than its own cores.
-    spans = keep(merged.unionByName(sent.where("merge < 0").select("text", "s", "e")).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    spans = keep(merged.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
 
     def strike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 64):

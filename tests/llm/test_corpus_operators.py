@@ -161,7 +161,7 @@ def test_estimates_are_unbiased():
     assert (np.maximum(minhash.registers(x), minhash.registers(y)) == minhash.registers(np.union1d(x, y))).all()
 
 
-def test_repeats(docs, none):
+def test_repeats(docs, none, monkeypatch):
     size = 60
     raw = [(i, (t or "").encode()) for i, t in ROWS]
     seen = collections.Counter(x[s : s + size] for _, x in raw for s in range(len(x) - size + 1))
@@ -176,12 +176,14 @@ def test_repeats(docs, none):
         want[(i, len(x), sum(mark), spans, hashlib.sha256(kept).hexdigest())] += 1
     got = collections.Counter(tuple(r) for r in suffixes.repeats(docs, size).collect())
     assert got == want
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    assert collections.Counter(tuple(r) for r in suffixes.repeats(docs, size).collect()) == want
     assert suffixes.repeats(none, size).count() == 0
 
 
 def test_merge_is_sorted_and_knows_prefixes():
     r = random.Random(1)
-    records = [("".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode(), b"", i, i) for i in range(300)]
+    records = [("".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode(), b"", i.to_bytes(16, "big"), i) for i in range(300)]
     parts = [sorted(records[i::7]) for i in range(7)] + [[]]
     got = list(suffixes.merge([suffixes.encode_run(p) for p in parts]))
     assert [g[0] for g in got] == sorted(x[0] for x in records)
@@ -190,7 +192,7 @@ def test_merge_is_sorted_and_knows_prefixes():
         while k < min(len(a[0]), len(b[0])) and a[0][k] == b[0][k]:
             k += 1
         assert b[1] == k
-    assert sorted(g[3] for g in got) == list(range(300))
+    assert sorted(g[4] for g in got) == list(range(300)) and all(int.from_bytes(g[3], "big") == g[4] for g in got)
 
 
 def test_reach_by_table_and_by_classes_agree(monkeypatch):
