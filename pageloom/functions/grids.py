@@ -57,7 +57,7 @@ def text_similarity(a: str, b: str) -> float:
     return 1 - int(row[-1]) / longest
 
 
-def compare(pred: list[dict], truth: list[dict], threshold: float = 0.5) -> dict[str, float]:
+def compare(pred: list[dict], truth: list[dict], threshold: float = 0.5, similarity: Callable[[str, str], float] = text_similarity) -> dict[str, float]:
     """top (structure), con (texts), loc (boxes), precision and recall of cells in matched rows and columns."""
     if not pred and not truth:
         return dict.fromkeys(("top", "con", "loc", "precision", "recall"), 1.0)
@@ -80,10 +80,10 @@ def compare(pred: list[dict], truth: list[dict], threshold: float = 0.5) -> dict
         inside[np.ix_([p[side] for p in rows], [p[side] for p in cols])] = True
         return float(((m >= 0) & inside).sum() / max((m >= 0).sum(), 1))
 
-    return {"top": top, "con": mean(lambda x, y: text_similarity(x.get("text") or "", y.get("text") or "")), "loc": mean(lambda x, y: iou(x["bbox"], y["bbox"])), "precision": share(a, 0), "recall": share(b, 1)}
+    return {"top": top, "con": mean(lambda x, y: similarity(x.get("text") or "", y.get("text") or "")), "loc": mean(lambda x, y: iou(x["bbox"], y["bbox"])), "precision": share(a, 0), "recall": share(b, 1)}
 
 
-def page(pred: list[dict], truth: list[dict], least: float = 0.5) -> dict[str, float]:
+def page(pred: list[dict], truth: list[dict], least: float = 0.5, similarity: Callable[[str, str], float] = text_similarity) -> dict[str, float]:
     """All table metrics of a page: predicted tables take, in their order, the free true one of greatest overlap above `least`.
     Without tables on either side all are 1; without a matched pair the similarities are 1 and detection is 0."""
     free, met = set(range(len(truth))), []
@@ -93,7 +93,7 @@ def page(pred: list[dict], truth: list[dict], least: float = 0.5) -> dict[str, f
         if j is not None and overlap[j] > least:
             free.discard(j)
             met.append((p, truth[j]))
-    got = [compare(p.get("cells") or [], t.get("cells") or []) for p, t in met]
+    got = [compare(p.get("cells") or [], t.get("cells") or [], similarity=similarity) for p, t in met]
     mean = {k: sum(g[k] for g in got) / len(got) if got else 1.0 for k in ("top", "con", "loc", "precision", "recall")}
     p, r = mean["precision"], mean["recall"]
     none = not pred and not truth

@@ -9,7 +9,7 @@ from functools import cache
 
 from .native import MISREAD
 
-#: Characters of the model, its orders' weights (index 0: single characters) and the weight of a uniform draw.
+# Characters of the model, their number, its orders' weights (index 0: single characters) and the weight of a uniform draw.
 LETTERS = set(string.ascii_lowercase + " .,;:!?'\"-()\n")
 VOCABULARY = 45
 WEIGHTS = (0.60, 0.20, 0.10, 0.07)
@@ -33,13 +33,17 @@ have begun it one evening with the first stone. in the end we reached the villag
 apples were sold for almost nothing. the way home was longer than we thought, and it was dark when we came to the gate.
 """
 
+#: The hundred operations of C. K. Ogden's Basic English (1930), the words that carry its grammar; any other list can be passed.
 COMMON = frozenset("""
-a about after again all also an and any are as at back be because been before but by can come could day did do down each end even every
-first for from get give go good had has have he her here him his how i if in into is it its just know like long look made make man many
-may me more most much must my new no not now of off on one only or other our out over own page part people read said same see she so
-some such take text than that the their them then there these they thing this those time to two up us use very was way we well were what
-when where which while who will with word words work would write year you your
-""".split())
+come get give go keep let make put seem take be do have say see send may will
+about across after against among at before between by down from in off on over through to under up with
+as for of till than
+a the all any every little much no other some such that this I he you who
+and because but or if though while
+how when where why
+again ever far forward here near now out still then there together well
+almost enough even not only quite so very tomorrow yesterday north south east west please yes
+""".lower().split())
 
 
 class CharModel:

@@ -79,8 +79,8 @@ def script_counts(text: Column) -> Column:
 
 
 def script_of(text: Column, denominator: str = "non_latin", least: float = 0.2) -> Column:
-    """The dominant script. As documented upstream the share is of all visible characters (`non_whitespace`); as measured
-    there, and by default here, of the characters that belong to some script. Ties go to the script seen first.
+    """The dominant script, if its share is at least `least`: of the characters that belong to some script (`non_latin`), or of
+    all visible characters (`non_whitespace`). Ties go to the script seen first.
 
     A text without any such character, the usual case, costs one search."""
     text = F.coalesce(text, F.lit(""))

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: A table that is to be broadcast as a short list may have so many rows.
+SHORT = 10_000
+
+
+def short_list(df: DataFrame) -> DataFrame:
+    """df to be broadcast, once its rows are counted as few; a longer one is left to the optimizer."""
+    return F.broadcast(df) if df.limit(SHORT + 1).count() <= SHORT else df
+
+
 def active(df: DataFrame, deleted: str = "deleted_at") -> DataFrame:
     return df.where(F.col(deleted).isNull())
 
@@ -134,9 +146,36 @@ def promote(versions: DataFrame, version_id: str) -> DataFrame:
     return met.withColumn("version_number", F.when((F.col("version_id") == version_id) & F.col("deleted_at").isNull(), F.col("_top") + 1).otherwise(F.col("version_number")).cast("int")).select(versions.columns)
 
 
+def check_comparison(run_ids: Sequence[str], runs: DataFrame, pdf_id: str | None = None, least: int = 2, most: int = 5) -> list[str]:
+    """The run ids of a comparison, once they are sound: UUIDs (blank ones are skipped), from `least` to `most` of them, of known,
+    completed runs, and with pdf_id all of that document. ValueError, for unknown runs LookupError."""
+    ids = []
+    for x in run_ids:
+        if x.strip():
+            try:
+                ids.append(str(uuid.UUID(x.strip())))
+            except ValueError as e:
+                raise ValueError(f"not a run's id: {x.strip()!r}") from e
+    if not least <= len(ids) <= most:
+        raise ValueError(f"a comparison takes {least} to {most} runs, not {len(ids)}")
+    known = {r["run_id"]: r for r in runs.where(F.col("run_id").isin(ids)).select("run_id", "pdf_id", "status").collect()}  # `most` rows
+    if unknown := [i for i in ids if i not in known]:
+        raise LookupError(f"no such runs: {', '.join(unknown)}")
+    if pdf_id is not None and (other := [i for i in ids if known[i]["pdf_id"] != pdf_id]):
+        raise ValueError(f"not of document {pdf_id}: {', '.join(other)}")
+    if unfinished := [i for i in ids if known[i]["status"] != "completed"]:
+        raise ValueError(f"not completed: {', '.join(unfinished)}")
+    return ids
+
+
+def page_of_rows(df: DataFrame, *order: Column, page: int = 1, size: int = 20) -> tuple[DataFrame, int]:
+    """The page-th page of ordered rows, and how many rows there are in all."""
+    return list_rows(df, *order, offset=(page - 1) * size, limit=size), df.count()
+
+
 def batch_items(batch_id: str, pdfs: DataFrame, engines: DataFrame) -> DataFrame:
     """Every document by every engine. The engines are a short list that the caller names, so this grows with the documents."""
-    return pdfs.select("pdf_id").join(F.broadcast(engines.select("engine_id")), F.lit(True)).select(F.lit(batch_id).alias("batch_id"), "pdf_id", "engine_id", F.lit("pending").alias("status"))
+    return pdfs.select("pdf_id").join(short_list(engines.select("engine_id")), F.lit(True)).select(F.lit(batch_id).alias("batch_id"), "pdf_id", "engine_id", F.lit("pending").alias("status"))
 
 
 def batch_progress(items: DataFrame) -> DataFrame:
@@ -154,5 +193,5 @@ def upsert(seed: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def compare_runs(latest: DataFrame, pdfs: DataFrame, engines: DataFrame) -> DataFrame:
     """A row per document and engine with the latest run, or none: engines are a short list."""
-    grid = pdfs.select("pdf_id").join(F.broadcast(engines.select("engine_id")), F.lit(True))
+    grid = pdfs.select("pdf_id").join(short_list(engines.select("engine_id")), F.lit(True))
     return grid.join(latest, ["pdf_id", "engine_id"], "left").withColumn("has_run", F.col("run_id").isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,18 +64,37 @@ def reading_order(blocks_: DataFrame, *keys: str) -> DataFrame:
     return blocks_.withColumn("order", F.row_number().over(w) - 1)
 
 
+def tree_order(pages: DataFrame, *keys: str) -> DataFrame:
+    """pages: keys, words. Returns keys, order, word: words in the order in which a spanning tree over their middles grows from
+    the top left; those without a box of four numbers are left out."""
+    schema = "".join(f"`{n}` {t}, " for n, t in pages.select(*keys).dtypes) + f"_w {WORDS}"
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for ws in b["words"].to_pylist():
+                usable = [w for w in ws or [] if w and w["bbox"] and len(w["bbox"]) == 4]
+                order = kernel.tree_order([((w["bbox"][0] + w["bbox"][2]) / 2, (w["bbox"][1] + w["bbox"][3]) / 2) for w in usable])
+                out.append([usable[i] for i in order])
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), pa.array(out, pa.list_(_word))], [*keys, "_w"])
+
+    made = pages.select(*keys, F.col("words").cast(WORDS).alias("words")).mapInArrow(run, schema)
+    return made.select(*keys, F.posexplode("_w").alias("order", "word"))
+
+
 CELL = "struct<row:int,col:int,row_span:int,col_span:int,text:string,bbox:array<double>>"
 TABLES = f"array<struct<bbox:array<double>,cells:array<{CELL}>>>"
 METRICS = ("grits_top", "grits_con", "grits_loc", "structure_precision", "structure_recall", "cell_accuracy", "table_detection_precision", "table_detection_recall")
 
 
-def table_metrics(pages: DataFrame, *keys: str) -> DataFrame:
-    """pages: keys, pred_tables, gt_tables (arrays of bbox and cells). Returns keys and the eight table metrics."""
+def table_metrics(pages: DataFrame, *keys: str, similarity: Callable[[str, str], float] = grids.text_similarity) -> DataFrame:
+    """pages: keys, pred_tables, gt_tables (arrays of bbox and cells). Returns keys and the eight table metrics. similarity: of two
+    cells' texts, 0 to 1."""
     schema = "".join(f"`{n}` {t}, " for n, t in pages.select(*keys).dtypes) + ", ".join(f"{m} double" for m in METRICS)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [grids.page(p or [], t or []) for p, t in zip(b["pred_tables"].to_pylist(), b["gt_tables"].to_pylist(), strict=True)]
+            got = [grids.page(p or [], t or [], similarity=similarity) for p, t in zip(b["pred_tables"].to_pylist(), b["gt_tables"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), *(pa.array([g[m] for g in got], pa.float64()) for m in METRICS)], [*keys, *METRICS])
 
     return pages.select(*keys, F.col("pred_tables").cast(TABLES).alias("pred_tables"), F.col("gt_tables").cast(TABLES).alias("gt_tables")).mapInArrow(run, schema)

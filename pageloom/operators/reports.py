@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .catalog import short_list
+
 
 def run_metrics(runs: DataFrame, summaries: DataFrame) -> DataFrame:
     """runs with cer, wer, char_f1, word_f1 and f1 of their first summary (by created_at, then summary_id).
@@ -29,7 +31,7 @@ def summary(pdfs: DataFrame, metrics: DataFrame, pages: DataFrame, engines: Data
     """One row: total_pdfs (live), total_runs, completed_runs, total_pages (of completed runs), avg_cer, avg_wer, best_engine."""
     zero = F.lit(0.0)
     r = metrics.agg(F.count("*").alias("total_runs"), F.count_if(F.col("status") == "completed").alias("completed_runs"), F.round(F.coalesce(F.avg("cer"), zero), 4).alias("avg_cer"), F.round(F.coalesce(F.avg("wer"), zero), 4).alias("avg_wer"))
-    best = metrics.where("status = 'completed' AND cer IS NOT NULL").groupBy("engine_id").agg(F.avg("cer").alias("c")).join(F.broadcast(engines.select("engine_id", "slug")), "engine_id").agg(F.min_by("slug", F.struct("c", "slug")).alias("best_engine"))
+    best = metrics.where("status = 'completed' AND cer IS NOT NULL").groupBy("engine_id").agg(F.avg("cer").alias("c")).join(short_list(engines.select("engine_id", "slug")), "engine_id").agg(F.min_by("slug", F.struct("c", "slug")).alias("best_engine"))
     p = pdfs.where("deleted_at IS NULL").agg(F.count("*").alias("total_pdfs"))
     g = pages.join(metrics.where("status = 'completed'").select("run_id"), "run_id", "left_semi").agg(F.count("*").alias("total_pages"))
     one = p
@@ -41,7 +43,7 @@ def summary(pdfs: DataFrame, metrics: DataFrame, pages: DataFrame, engines: Data
 def rankings(metrics: DataFrame, engines: DataFrame) -> DataFrame:
     """Engines with a completed run: avg_cer, avg_wer, avg_f1, runs, rank by cer (missing last), then slug."""
     per = metrics.where("status = 'completed'").groupBy("engine_id").agg(F.count("*").alias("runs"), *(F.round(F.avg(c), 4).alias(f"avg_{c}") for c in ("cer", "wer", "f1")))
-    named = per.join(F.broadcast(engines.select("engine_id", "slug", "display_name")), "engine_id")
+    named = per.join(short_list(engines.select("engine_id", "slug", "display_name")), "engine_id")
     return named.withColumn("rank", F.row_number().over(W.orderBy(F.col("avg_cer").asc_nulls_last(), "slug")))  # a row per engine
 
 

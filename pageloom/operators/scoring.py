@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,8 +23,7 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     """Adds edit counts to rows with `ref` and `hyp` (arrays of words; null: empty): char_* of the alignment of the texts
     (words joined by blanks), word_* of least edits, and ref_chars, hyp_chars, ref_words, hyp_words.
 
-    Pages of equal text have known counts and never reach the kernel; the rest goes through Arrow once, texts of like
-    cost spread by their length so that no task gets all long pages.
+    Pages of equal text have known counts and never reach the kernel; the rest goes through Arrow once.
     """
     slim = pairs.withColumn("_r", F.coalesce("ref", F.array().cast("array<string>"))).withColumn("_h", F.coalesce("hyp", F.array().cast("array<string>")))
     slim = slim.withColumn("_rt", F.array_join("_r", " ")).withColumn("_ht", F.array_join("_h", " "))
@@ -174,6 +173,91 @@ def pair_stats(word_rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def combined(pairs: DataFrame, *keys: str, noise: DataFrame | None = None) -> DataFrame:
+    """All metrics of word lists at once: keys, cer, wer, imagination, calibration, and noise (the slope of `noise`: keys, dpi,
+    cer; null without). pairs: keys (one row for each), ref and hyp (arrays of text, bbox, confidence)."""
+    texts = lambda c: F.transform(F.col(c), lambda w: w["text"])
+    plain = with_metrics(pair_counts(pairs.select(*keys, texts("ref").alias("ref"), texts("hyp").alias("hyp")))).select(*keys, "cer", "wer")
+    fuzzy = pair_stats(word_pairs(pairs.select(*keys, "ref", "hyp")), *keys).select(*keys, "imagination", "calibration")
+    # Two empty lists have no pairs, and nothing wrong.
+    out = plain.join(fuzzy, list(keys), "left").fillna(0.0, ["imagination", "calibration"])
+    slope = noise_slope(noise, *keys).select(*keys, F.col("slope").alias("noise")) if noise is not None else None
+    return out.withColumn("noise", F.lit(None).cast("double")) if slope is None else out.join(slope, list(keys), "left")
+
+
+#: Read words with confidences against what stands on the page, for checks of combined(): name, read, truth.
+SCENARIOS = (
+    ("perfect", (("a", 0.95), ("plain", 0.95), ("line", 0.95)), ("a", "plain", "line")),
+    ("invented", (("a", 0.95), ("plain", 0.95), ("line", 0.95), ("zzz", 0.8), ("qqqq", 0.7)), ("a", "plain", "line")),
+    ("overconfident", (("a", 0.95), ("vvvvv", 0.9), ("line", 0.95)), ("a", "plain", "line")),
+    ("cautious", (("a", 0.95), ("vvvvv", 0.2), ("line", 0.95)), ("a", "plain", "line")),
+)
+
+
+def scenario_checks(spark: SparkSession) -> DataFrame:
+    """Whether the metrics tell known cases apart: check, passed. Invented words show in imagination and cer, misplaced
+    confidence in calibration, a perfect reading in neither."""
+    word = lambda t, c=1.0: (t, None, c)
+    rows = [(n, [word(*w) for w in read], [word(t) for t in truth]) for n, read, truth in SCENARIOS]
+    got = combined(spark.createDataFrame(rows, f"scenario string, hyp {WORD_IN}, ref {WORD_IN}"), "scenario")
+    at = lambda s, m: F.max(F.when(F.col("scenario") == s, F.col(m)))
+    checks = {
+        "a perfect reading invents nothing": at("perfect", "imagination") == 0,
+        "a perfect reading is calibrated": at("perfect", "calibration") < 0.01,
+        "invented words raise imagination": at("invented", "imagination") > at("perfect", "imagination"),
+        "invented words raise cer": at("invented", "cer") > at("perfect", "cer"),
+        "overconfidence raises calibration error": at("overconfident", "calibration") > at("cautious", "calibration"),
+    }
+    return got.agg(F.array(*(F.struct(F.lit(n).alias("check"), c.alias("passed")) for n, c in checks.items())).alias("c")).select(F.inline("c"))
+
+
+def word_status(pages: DataFrame, truth: DataFrame, *keys: str) -> DataFrame:
+    """The n-th read word against the n-th true one: keys, position, status (correct, wrong, missing, extra), text (the true one,
+    for extra the read one), engine_text (of wrong and extra ones), bbox, confidence (0 for missing ones).
+
+    pages, truth: keys and words (arrays of text, bbox, confidence). A page on one side only: all its words are missing or extra.
+    """
+    side = lambda df, n: df.select(*keys, F.posexplode(F.col("words").cast(WORD_IN)).alias("position", n))
+    met = side(pages, "o").join(side(truth, "t"), [*keys, "position"], "full")
+    o, t = F.col("o"), F.col("t")
+    status = F.when(o.isNull(), "missing").when(t.isNull(), "extra").when(o["text"].eqNullSafe(t["text"]), "correct").otherwise("wrong")
+    out = met.withColumn("status", status)
+    return out.select(
+        *keys, "position", "status", F.when(t.isNull(), o["text"]).otherwise(t["text"]).alias("text"), F.when(F.col("status").isin("wrong", "extra"), o["text"]).alias("engine_text"),
+        F.when(o.isNull(), t["bbox"]).otherwise(o["bbox"]).alias("bbox"), F.when(o.isNull(), 0.0).otherwise(o["confidence"]).alias("confidence"),
+    )
+
+
+def local_pairs(pairs: DataFrame, match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0) -> DataFrame:
+    """The best local alignment of `ref` and `hyp` (arrays of words): the other columns, score, ref_start, ref_end, hyp_start,
+    hyp_end (ends exclusive; null without a match), matches."""
+    keys = [c for c in pairs.columns if c not in ("ref", "hyp")]
+    names = ("ref_start", "ref_end", "hyp_start", "hyp_end", "matches")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for r, h in zip(_lists(b, "ref"), _lists(b, "hyp"), strict=True):
+                path, score = align.local(r, h, match, mismatch, gap)
+                i, j = [x for x, _ in path if x is not None], [y for _, y in path if y is not None]
+                same = sum(x is not None and y is not None and r[x] == h[y] for x, y in path)
+                rows.append((score, *((i[0], i[-1] + 1, j[0], j[-1] + 1) if path else [None] * 4), same))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), pa.array(cols[0], pa.float64()), *(pa.array(c, pa.int32()) for c in cols[1:])], [*keys, "score", *names])
+
+    schema = "".join(f"`{n}` {t}, " for n, t in pairs.select(*keys).dtypes) + "score double" + "".join(f", {n} int" for n in names)
+    return pairs.select(*keys, "ref", "hyp").mapInArrow(run, schema)
+
+
+def run_totals(pages: DataFrame, seconds: DataFrame | None = None, data: str = "data") -> DataFrame:
+    """Of each run (pages: run_id and data): pages, characters of its text blocks, and with `seconds` (run_id, seconds) seconds a page."""
+    blocks = F.filter(F.col(f"{data}.blocks"), lambda b: (b["type"] == "text") & b["lines"].isNotNull())
+    words = F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(b["lines"], lambda l: l["words"]))))
+    n = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.length(w["text"]), F.lit(0)))
+    out = pages.groupBy("run_id").agg(F.count("*").alias("pages"), F.sum(F.coalesce(n, F.lit(0).cast("long"))).alias("characters"))
+    return out if seconds is None else out.join(seconds, "run_id", "left").withColumn("seconds_a_page", F.col("seconds") / F.greatest("pages", F.lit(1)))
+
+
 def noise_slope(scores: DataFrame, *keys: str) -> DataFrame:
     """Least-squares slope of cer over dpi; 0 with fewer than two points. Worse reading at low resolution gives a negative slope."""
     return scores.groupBy(*keys).agg(F.coalesce(F.regr_slope("cer", "dpi"), F.lit(0.0)).alias("slope"), F.count("*").alias("points"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language
 from ..functions.native import cosine_of_counts, grams, safe_div, script_of, words
+from .scoring import pair_counts, with_metrics
 
 
 def plausibility(df: DataFrame, text: str = "text") -> DataFrame:
@@ -71,6 +72,13 @@ def rtl_penalty(word_rows: DataFrame, *keys: str, order: str = "word_pos") -> Da
     return rows.groupBy(*keys).agg(safe_div(F.count_if(F.col("x") < F.col("next")), F.count(F.when(F.col("x").isNotNull() & F.col("next").isNotNull(), 1))).alias("rtl_penalty"))
 
 
+def arabic_metrics(pairs: DataFrame, word_rows: DataFrame, *keys: str) -> DataFrame:
+    """Character metrics of `ref` and `hyp` (arrays of words) and the right-to-left penalty of the read words' boxes (word_rows:
+    keys, word_pos, bbox), in one call: keys, cer, char_precision, char_recall, char_f1, rtl_penalty (0 without boxes)."""
+    scores = with_metrics(pair_counts(pairs.select(*keys, "ref", "hyp"))).select(*keys, "cer", "char_precision", "char_recall", "char_f1")
+    return scores.join(rtl_penalty(word_rows, *keys), list(keys), "left").fillna(0.0, ["rtl_penalty"])
+
+
 # Thresholds of confidence and of the ratio of widths, and the marks that engines leave.
 SURE, MAYBE, RATIO, WIDTHS = 0.3, 0.5, 3.0, 3
 MARKS = ("handwriting", "handwritten", "cursive")

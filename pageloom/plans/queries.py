@@ -31,17 +31,17 @@ def query(sql: str | None = None):
     return add
 
 
-def ascii_passages(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.regexp_replace("text", "[^ -~]", "").alias("ref"))
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("ref"))
 
 
-PASSAGES = "p AS (SELECT item_id AS doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS ref FROM benchmark)"
+PASSAGES = "p AS (SELECT item_id AS doc_id, text AS ref FROM benchmark)"
 READ = f"{PASSAGES}, r AS (SELECT doc_id, ref, unnest(['exact', 'misread', 'lowered', 'merged']) AS engine, unnest([ref, translate(ref, 'ol', '01'), lower(ref), replace(ref, 'rn', 'm')]) AS hyp FROM p)"
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
     made = F.array(*(F.struct(F.lit(n).alias("engine"), f(F.col("ref")).alias("hyp")) for n, f in (("exact", lambda c: c), ("misread", engines.misread), ("lowered", engines.lowered), ("merged", engines.merged))))
-    return ascii_passages(spark, d).select("doc_id", "ref", F.inline(made))
+    return passages(spark, d).select("doc_id", "ref", F.inline(made))
 
 
 def r6(c) -> F.Column:
@@ -99,7 +99,9 @@ def top_confusions(spark, d):
     return scoring.top_confusions(confusion_matrix(spark, d), 3)
 
 
-@query()
+@query(f"""WITH {PASSAGES}, w AS (SELECT doc_id, unnest(string_split(ref, ' ')) AS a, unnest(string_split(replace(ref, 'rn', 'm'), ' ')) AS b FROM p),
+s AS (SELECT doc_id, CASE WHEN length(a) + length(b) = 0 THEN 1 ELSE 2.0 * (length(a) - 2 * (length(a) - length(b))) / (length(a) + length(b)) END >= 0.6 AS same FROM w)
+SELECT doc_id, count_if(same) AS n_match, count_if(NOT same) AS n_substitution, CAST(0 AS BIGINT) AS n_insertion, CAST(0 AS BIGINT) AS n_deletion, CAST(0 AS DOUBLE) AS imagination, round(avg(CASE WHEN same THEN 0.01 ELSE 0.81 END), 6) AS calibration FROM s GROUP BY doc_id""")
 def fuzzy_word_pairs(spark, d):
     word = lambda c: F.transform(F.split(c, " "), lambda w: F.struct(w.alias("text")))
     rows = readings(spark, d).where("engine = 'merged'").select("doc_id", word(F.col("ref")).alias("ref"), word(F.col("hyp")).alias("hyp"))
@@ -115,53 +117,85 @@ def error_bands(spark, d):
     return readings(spark, d).groupBy("engine", band.alias("band")).agg(F.count("*").alias("pages"))
 
 
-# Several engines at one position: all readings here have the reference's words one for one, so positions are plain.
+# Five engines at one position. Words that are dropped leave gaps, repeated ones stand nowhere; both leave one best alignment,
+# as all else is equal to the reference. Confidences are such that the three rules of voting differ from one another.
 
 
 def _grid(spark, d):
-    word = lambda w, c: F.struct(w.alias("text"), F.lit(c).alias("confidence"), F.lit(None).cast("array<double>").alias("bbox"))
-    p = ascii_passages(spark, d)
-    made = [(n, i, f, c) for i, (n, f, c) in enumerate((("exact", lambda x: x, 0.9), ("misread", engines.misread, 0.5), ("lowered", engines.lowered, 0.6)))]
-    rows = None
-    for n, i, f, c in made:
-        one = p.select("doc_id", F.lit(n).alias("engine"), F.lit(i).alias("engine_rank"), F.transform(F.split(f(F.col("ref")), " "), lambda w, c=c: word(w, c)).alias("words"))
-        rows = one if rows is None else rows.unionByName(one)
+    def word(w, c):
+        return F.struct(w.alias("text"), c.cast("double").alias("confidence"), F.lit(None).cast("array<double>").alias("bbox"))
+
+    def words(c, sure):
+        return F.transform(F.split(c, " "), lambda w, i: word(w, sure(i)))
+
+    exact, other = F.col("ref"), engines.misread(F.col("ref"))
+    made = [
+        ("exact", words(exact, lambda i: F.lit(0.9))), ("misread", words(other, lambda i: F.lit(0.45))), ("again", words(other, lambda i: F.when(i % 2 == 1, 0.1))),
+        ("dropped", engines.dropped(words(exact, lambda i: F.lit(0.5)))), ("repeated", engines.repeated(words(exact, lambda i: F.lit(0.01)))),
+    ]
+    rows = passages(spark, d).select("doc_id", F.inline(F.array(*(F.struct(F.lit(n).alias("engine"), F.lit(i).alias("engine_rank"), w.alias("words")) for i, (n, w) in enumerate(made)))))
     return consensus.project(rows, "doc_id")
 
 
-GRID = f"""{PASSAGES}, g AS (SELECT doc_id, unnest(string_split(ref, ' ')) AS exact, unnest(string_split(translate(ref, 'ol', '01'), ' ')) AS misread, unnest(string_split(lower(ref), ' ')) AS lowered, unnest(range(len(string_split(ref, ' ')))) AS position FROM p)"""
-WINNER = "CASE WHEN exact = misread OR exact = lowered THEN exact WHEN misread = lowered THEN misread ELSE exact END"
-WEIGHTED = "CASE WHEN exact = misread OR exact = lowered THEN exact WHEN misread = lowered THEN misread ELSE exact END"
+# e, m: the words; gone: the word is dropped; low: one of its misreadings has no confidence, which counts as 1 in sums.
+GRID = f"""{PASSAGES}, u AS (SELECT doc_id, unnest(string_split(ref, ' ')) AS e, unnest(string_split(translate(ref, 'ol', '01'), ' ')) AS m, unnest(range(len(string_split(ref, ' ')))) AS position FROM p),
+g AS (SELECT *, CAST((position + 1) % 7 = 0 AS INTEGER) AS gone, position % 2 = 0 AS low, CAST((position + 1) % 9 = 0 AS INTEGER) AS twice FROM u)"""
+MAJORITY = "CASE WHEN gone = 1 AND low THEN m ELSE e END"
+WEIGHTED = "CASE WHEN low THEN m ELSE e END"
 
 
-@query(f"WITH {GRID} SELECT doc_id, CAST(position AS INTEGER) AS position, {WINNER} AS majority, {WEIGHTED} AS weighted, {WINNER} AS mean_tie, CAST(3 AS BIGINT) AS total_votes FROM g")
+@query(f"""WITH {GRID} SELECT doc_id, CAST(position AS INTEGER) AS position, {MAJORITY} AS majority, {WEIGHTED} AS weighted, e AS mean_tie, CAST(5 AS BIGINT) AS total_votes,
+CASE WHEN m = e THEN 5 - gone WHEN gone = 1 THEN 2 ELSE 3 END::BIGINT AS majority_votes, {MAJORITY} <> {WEIGHTED} AS flag FROM g""")
 def votes(spark, d):
-    return consensus.votes(_grid(spark, d), "doc_id").select("doc_id", "position", "majority", "weighted", "mean_tie", "total_votes")
+    return consensus.votes(_grid(spark, d), "doc_id").select("doc_id", "position", "majority", "weighted", "mean_tie", "total_votes", "majority_votes", "flag")
+
 
+def _h(*counts: str) -> str:
+    """The entropy of the given counts as a share of the greatest one, in SQL."""
+    n = "(" + " + ".join(counts) + ")"
+    return "((" + " + ".join(f"CASE WHEN {c} > 0 THEN -(({c})::DOUBLE / {n}) * log2(({c})::DOUBLE / {n}) ELSE 0 END" for c in counts) + f") / log2({n}))"
 
-ENTROPY = "CASE WHEN exact = misread AND exact = lowered THEN 0.0 WHEN exact = misread OR exact = lowered OR misread = lowered THEN (-(2.0/3) * log2(2.0/3) - (1.0/3) * log2(1.0/3)) / log2(3) ELSE 1.0 END"
 
+ENTROPY = f"CASE WHEN m = e THEN {_h('(5 - gone)', 'gone')} ELSE {_h('(3 - gone)', '2', 'gone')} END"
+NO_GAPS = f"CASE WHEN m = e THEN 0 ELSE {_h('(3 - gone)', '2')} END"
 
-@query(f"WITH {GRID} SELECT doc_id, round(avg({ENTROPY}), 6) AS entropy, round(avg({ENTROPY}), 6) AS entropy_no_gaps, count(*) AS positions FROM g GROUP BY doc_id")
+
+@query(f"WITH {GRID} SELECT doc_id, round(avg({ENTROPY}), 6) AS entropy, round(avg({NO_GAPS}), 6) AS entropy_no_gaps, count(*) AS positions FROM g GROUP BY doc_id")
 def consensus_entropy(spark, d):
     got = consensus.page_entropy(consensus.entropies(_grid(spark, d), "doc_id"), "doc_id")
     return got.select("doc_id", r6("entropy").alias("entropy"), r6("entropy_no_gaps").alias("entropy_no_gaps"), "positions")
 
 
-@query(f"""WITH {GRID}, e AS (SELECT unnest(['exact', 'misread', 'lowered']) AS engine, unnest([exact, misread, lowered]) AS w, {WINNER} AS c, doc_id FROM g)
-SELECT engine, sum(CASE WHEN w = c THEN 1 ELSE 0 END)::BIGINT AS match, sum(CASE WHEN w <> c THEN 1 ELSE 0 END)::BIGINT AS wrong, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra FROM e GROUP BY engine""")
+@query(f"""WITH {GRID}, s AS (SELECT count(*) AS n, count_if(m <> e) AS wrong, sum(gone) AS gone, sum(twice) AS twice FROM g)
+SELECT engine, match::BIGINT AS match, wrong::BIGINT AS wrong, missing::BIGINT AS missing, extra::BIGINT AS extra FROM (
+SELECT unnest(['exact', 'misread', 'again', 'dropped', 'repeated']) AS engine, unnest([n, n - wrong, n - wrong, n - gone, n]) AS match, unnest([0, wrong, wrong, 0, 0]) AS wrong, unnest([0, 0, 0, gone, 0]) AS missing, unnest([0, 0, 0, 0, twice]) AS extra FROM s)""")
 def engine_stats(spark, d):
     g = _grid(spark, d)
     return consensus.engine_stats(consensus.statuses(g, consensus.votes(g, "doc_id"), "doc_id"))
 
 
-@query(f"""WITH {GRID}, e AS (SELECT doc_id, avg({ENTROPY}) AS ce FROM g GROUP BY doc_id)
-SELECT doc_id, CASE WHEN ce >= 0.6 THEN 'reject' WHEN ce < 0.3 THEN 'accept' ELSE 'review' END AS decision, ce >= 0.3 AS needs_review FROM e""")
+@query(f"""WITH {GRID}, x AS (SELECT doc_id, CAST(position AS INTEGER) AS position, e, unnest(['exact', 'misread', 'again', 'dropped', 'repeated']) AS engine, unnest([e, m, m, CASE WHEN gone = 0 THEN e END, e]) AS text FROM g)
+SELECT doc_id, position, engine, text, CASE WHEN text IS NULL THEN 'missing' WHEN text = e THEN 'match' ELSE 'wrong' END AS status FROM x""")
+def comparison_grid(spark, d):
+    g = _grid(spark, d)
+    grid = consensus.comparison_grid(consensus.statuses(g, consensus.votes(g, "doc_id"), "doc_id"), "doc_id")
+    return grid.select("doc_id", "position", F.explode("engines").alias("engine", "x")).select("doc_id", "position", "engine", "x.text", "x.status")
+
+
+@query(f"WITH {GRID} SELECT doc_id, CAST(position AS INTEGER) AS position, round(CASE WHEN m = e THEN (5 - gone) / 5.0 ELSE (3 - gone) / 5.0 END, 6) AS agreement FROM g")
+def position_agreement(spark, d):
+    g = _grid(spark, d)
+    return consensus.agreement(consensus.statuses(g, consensus.votes(g, "doc_id"), "doc_id"), "doc_id").select("doc_id", "position", r6("agreement").alias("agreement"))
+
+
+@query(f"""WITH {GRID}, x AS (SELECT doc_id, avg({ENTROPY}) AS ce, bool_or({MAJORITY} <> {WEIGHTED}) AS flagged FROM g GROUP BY doc_id)
+SELECT doc_id, CASE WHEN ce >= 0.6 THEN 'reject' WHEN ce < 0.3 THEN 'accept' ELSE 'review' END AS decision, ce >= 0.3 OR flagged AS needs_review,
+concat_ws('; ', CASE WHEN flagged THEN 'weighted and equal votes disagree' END, CASE WHEN ce >= 0.6 THEN 'high entropy' WHEN ce >= 0.3 THEN 'moderate entropy' END) AS warnings FROM x""")
 def ground_truth_routing(spark, d):
     g = _grid(spark, d)
     flags = consensus.votes(g, "doc_id").groupBy("doc_id").agg(F.bool_or("flag").alias("flagged"))
-    pages = consensus.page_entropy(consensus.entropies(g, "doc_id"), "doc_id").join(flags, "doc_id").withColumn("engines", F.lit(3))
-    return consensus.route(pages).select("doc_id", "decision", "needs_review")
+    pages = consensus.page_entropy(consensus.entropies(g, "doc_id"), "doc_id").join(flags, "doc_id").withColumn("engines", F.lit(5))
+    return consensus.route(pages).select("doc_id", "decision", "needs_review", F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query(f"WITH {GRID} SELECT doc_id, string_agg({WEIGHTED}, ' ' ORDER BY position) AS text FROM g GROUP BY doc_id")
@@ -260,10 +294,15 @@ def content_paths(spark, d):
     return t.select("doc_id", native.storage_path("store", "pdf", F.sha2(F.col("text").cast("binary"), 256), "pdf").alias("path"), F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
-@query("SELECT sha256, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT sha256(text) AS sha256, doc_id FROM documents) GROUP BY sha256")
+@query("""WITH f AS (SELECT printf('%09d', doc_id) AS path, '%PDF' || text AS content, doc_id FROM documents WHERE doc_id % 5 <> 0), k AS (SELECT sha256('%PDF' || text) AS s FROM documents WHERE doc_id % 7 = 0 AND doc_id % 3 <> 0)
+SELECT sha256(content) AS sha256, min(path) AS path, md5(any_value(content)) AS md5, CAST(strlen(any_value(content)) AS BIGINT) AS size FROM f WHERE sha256(content) NOT IN (SELECT s FROM k) GROUP BY sha256(content)""")
 def ingest_dedup(spark, d):
-    t = read_table(spark, d, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "doc_id")
-    return t.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Files that are PDFs (those divisible by 5 aren't) and new among live documents (those divisible by 7; by 3 too: deleted)."""
+    t = read_table(spark, d, "documents")
+    pdf = F.concat(F.lit(b"%PDF"), F.col("text").cast("binary"))
+    files = t.select(F.format_string("%09d", "doc_id").alias("path"), F.when(F.col("doc_id") % 5 == 0, F.col("text").cast("binary")).otherwise(pdf).alias("content"))
+    known = t.where("doc_id % 7 = 0").select(F.sha2(pdf, 256).alias("sha256"), F.when(F.col("doc_id") % 3 == 0, F.lit("2024-01-01").cast("timestamp")).alias("deleted_at"))
+    return catalog.ingest(known, files)
 
 
 # Reports: a run's metrics come from a breakdown made of line items.
@@ -322,18 +361,18 @@ x AS (SELECT doc_id, a[i:i+2] AS g, count(*)::DOUBLE AS n FROM (SELECT doc_id, a
 y AS (SELECT doc_id, b[i:i+2] AS g, count(*)::DOUBLE AS n FROM (SELECT doc_id, b, unnest(range(1, length(b) - 1)) AS i FROM t) GROUP BY ALL)
 SELECT doc_id, round((SELECT sum(x.n * y.n) FROM x JOIN y USING (doc_id, g) WHERE x.doc_id = t.doc_id) / sqrt((SELECT sum(n * n) FROM x WHERE x.doc_id = t.doc_id)) / sqrt((SELECT sum(n * n) FROM y WHERE y.doc_id = t.doc_id)), 6) AS cosine FROM t""")
 def trigram_similarity(spark, d):
-    rows = ascii_passages(spark, d).select("doc_id", "ref", engines.merged(F.lower("ref")).alias("hyp"))
+    rows = passages(spark, d).select("doc_id", "ref", engines.merged(F.lower("ref")).alias("hyp"))
     return text.trigram_cosine(rows, "ref", "hyp", "doc_id").select("doc_id", r6("cosine").alias("cosine"))
 
 
 @query()
 def readability(spark, d):
-    return text.plausibility(ascii_passages(spark, d).withColumnRenamed("ref", "text")).select("doc_id", *(r6(c).alias(c) for c in ("fluency", "grammaticality", "plausibility")))
+    return text.plausibility(passages(spark, d).withColumnRenamed("ref", "text")).select("doc_id", *(r6(c).alias(c) for c in ("fluency", "grammaticality", "plausibility")))
 
 
-@query("SELECT doc_id, translate(lower(regexp_replace(text, '[^ -~]', '', 'g')), '0123456789', 'oizeasgtbg') AS text FROM documents")
+@query("SELECT doc_id, translate(lower(text), '0123456789', 'oizeasgtbg') AS text FROM documents")
 def unread_digits(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", native.unread(F.regexp_replace("text", "[^ -~]", "")).alias("text"))
+    return read_table(spark, d, "documents").select("doc_id", native.unread(F.col("text")).alias("text"))
 
 
 BOXES = "b AS (SELECT l_orderkey AS page_id, l_linenumber AS n, l_quantity AS x0, l_discount * 700 AS y0, l_quantity + 20 + l_tax * 400 AS x1, l_discount * 700 + 12 AS y1, l_discount * 10 AS confidence, l_linenumber * 10000000000000 + l_partkey * 1000000 + l_suppkey AS k FROM lineitem)"
@@ -392,7 +431,9 @@ def page_blocks(spark, d):
     return layout.blocks(pages, "page_id").select("page_id", "order", "column", "text", F.size("words").alias("words"))
 
 
-@query()
+@query("""WITH c AS (SELECT l_orderkey AS page_id, l_linenumber AS r, max(CAST(l_quantity AS VARCHAR)) AS a, max(CAST(CAST(floor(l_quantity / 2) * 2 AS BIGINT) AS VARCHAR)) AS b FROM lineitem GROUP BY ALL),
+t AS (SELECT page_id, max(r) AS n, count(*) AS k, sum(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) AS s FROM c GROUP BY page_id)
+SELECT page_id, 1.0::DOUBLE AS grits_top, round((s + n - k) / n, 6) AS grits_con, 1.0::DOUBLE AS grits_loc, 1.0::DOUBLE AS structure_precision, 1.0::DOUBLE AS structure_recall, 1.0::DOUBLE AS cell_accuracy, 1.0::DOUBLE AS table_detection_precision, 1.0::DOUBLE AS table_detection_recall FROM t""")
 def table_structure(spark, d):
     l = read_table(spark, d, "lineitem")
     cell = lambda t: F.struct(F.col("l_linenumber") - 1, F.lit(0), F.lit(1), F.lit(1), t.cast("string"), F.array(F.lit(0.0), F.col("l_linenumber") * 10.0, F.lit(50.0), F.col("l_linenumber") * 10.0 + 9))
@@ -402,8 +443,9 @@ def table_structure(spark, d):
     return layout.table_metrics(pages, "page_id").select("page_id", *(r6(m).alias(m) for m in layout.METRICS))
 
 
-DRAWS = """v AS (SELECT engine AS k, c AS v, row_number() OVER (PARTITION BY engine ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY engine) AS n FROM s),
-t AS (SELECT k, i, n, unnest(range(200)) AS b FROM v), q AS (SELECT k, b, CAST('0x' || md5('7:' || b || ':' || i)[1:12] AS BIGINT) % n AS i FROM t), u AS (SELECT q.k, b, avg(v) AS stat FROM q JOIN v ON q.k = v.k AND q.i = v.i GROUP BY q.k, b),
+WEIGHT = " + ".join(f"CAST(u >= {x} AS INTEGER)" for x in bootstrap.LIMITS)
+DRAWS = f"""t AS (SELECT engine AS k, c AS v, b, CAST('0x' || md5('7:' || b || ':' || engine || ':' || doc_id)[1:12] AS BIGINT) AS u FROM (SELECT *, unnest(range(1000)) AS b FROM s)),
+u AS (SELECT k, b, sum(v * w) / sum(w) AS stat FROM (SELECT *, {WEIGHT} AS w FROM t) WHERE w > 0 GROUP BY k, b),
 o AS (SELECT k, stat, row_number() OVER (PARTITION BY k ORDER BY stat) - 1 AS r FROM u)"""
 SCORES = f"{READ}, s AS (SELECT engine, doc_id, levenshtein(ref, hyp)::DOUBLE / length(ref) AS c FROM r)"
 
@@ -412,20 +454,27 @@ def _scores(spark, d):
     return readings(spark, d).select("engine", "doc_id", native.cer_levenshtein(F.col("ref"), F.col("hyp")).alias("value"))
 
 
-@query(f"""WITH {SCORES}, {DRAWS}, z AS (SELECT k, max(CASE WHEN r = 5 THEN stat END) AS lower, max(CASE WHEN r = 195 THEN stat END) AS upper FROM o GROUP BY k)
+@query(f"""WITH {SCORES}, {DRAWS}, z AS (SELECT k, max(CASE WHEN r = 25 THEN stat END) AS lower, max(CASE WHEN r = 975 THEN stat END) AS upper FROM o GROUP BY k)
 SELECT s.engine, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS std, round(max(z.lower), 6) AS lower, round(max(z.upper), 6) AS upper FROM s JOIN z ON s.engine = z.k GROUP BY s.engine""")
 def bootstrap_intervals(spark, d):
-    got = bootstrap.confidence_interval(_scores(spark, d), "engine", order="doc_id", times=200)
+    got = bootstrap.confidence_interval(_scores(spark, d), "engine", order="doc_id")
     return got.select("engine", "n", *(r6(c).alias(c) for c in ("mean", "std", "lower", "upper")))
 
 
 @query(f"""WITH {SCORES}, {DRAWS}, x AS (SELECT a.stat - c.stat AS stat FROM u a JOIN u c USING (b) WHERE a.k = 'misread' AND c.k = 'lowered'), y AS (SELECT stat, row_number() OVER (ORDER BY stat) - 1 AS r FROM x)
-SELECT round(avg(stat), 6) AS difference, round(max(CASE WHEN r = 5 THEN stat END), 6) AS lower, round(max(CASE WHEN r = 195 THEN stat END), 6) AS upper, max(CASE WHEN r = 5 THEN stat END) > 0 OR max(CASE WHEN r = 195 THEN stat END) < 0 AS significant FROM y""")
+SELECT round(avg(stat), 6) AS difference, round(max(CASE WHEN r = 25 THEN stat END), 6) AS lower, round(max(CASE WHEN r = 975 THEN stat END), 6) AS upper, max(CASE WHEN r = 25 THEN stat END) > 0 OR max(CASE WHEN r = 975 THEN stat END) < 0 AS significant FROM y""")
 def bootstrap_comparison(spark, d):
-    got = bootstrap.compare(_scores(spark, d), "engine", "misread", "lowered", order="doc_id", times=200)
+    got = bootstrap.compare(_scores(spark, d), "engine", "misread", "lowered", order="doc_id")
     return got.select(*(r6(c).alias(c) for c in ("difference", "lower", "upper")), "significant")
 
 
+@query(f"""WITH {SCORES}, {DRAWS}, z AS (SELECT k, max(CASE WHEN r = 25 THEN stat END) AS lower, max(CASE WHEN r = 975 THEN stat END) AS upper FROM o GROUP BY k)
+SELECT engine, round(sum(levenshtein(ref, hyp))::DOUBLE / sum(length(ref)), 6) AS cer, round(any_value(z.lower), 6) AS lower, round(any_value(z.upper), 6) AS upper FROM r JOIN z ON engine = k GROUP BY engine""")
+def scores_with_intervals(spark, d):
+    s = readings(spark, d).groupBy("engine").agg(r6(F.sum(F.levenshtein("ref", "hyp")) / F.sum(F.length("ref"))).alias("cer"))
+    return bootstrap.with_intervals(s, _scores(spark, d), "engine", order="doc_id").select("engine", "cer", r6("lower").alias("lower"), r6("upper").alias("upper"))
+
+
 @query(f"""WITH {SCORES}, t AS (SELECT c AS cer, 100 + 50 * (row_number() OVER (PARTITION BY engine ORDER BY doc_id) % 5) AS dpi, engine FROM s) SELECT engine, round(coalesce(regr_slope(cer, dpi), 0), 9) AS slope, count(*) AS points FROM t GROUP BY engine""")
 def noise_sensitivity(spark, d):
     from pyspark.sql import Window as W

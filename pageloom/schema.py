@@ -38,6 +38,13 @@ def page_words(pages: DataFrame, data: str = "data") -> DataFrame:
     return words
 
 
+def page_chars(pages: DataFrame, data: str = "data") -> DataFrame:
+    """One row per character of each page, for overlays: page_words without word, then char_pos, char, bbox, confidence."""
+    rows = page_words(pages, data)
+    rows = rows.select(*(c for c in rows.columns if c != "word"), F.posexplode("word.chars").alias("char_pos", "_c"))
+    return rows.select(*(c for c in rows.columns if c != "_c"), "_c.char", "_c.bbox", "_c.confidence")
+
+
 def page_word_list(data) -> F.Column:
     """All words of a page as one array, in order."""
     return F.flatten(F.transform(F.coalesce(data["blocks"], F.array().cast(f"array<{BLOCK}>")), lambda b: F.flatten(F.transform(F.coalesce(b["lines"], F.array().cast(f"array<{LINE}>")), lambda l: F.coalesce(l["words"], F.array().cast(f"array<{WORD}>"))))))

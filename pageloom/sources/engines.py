@@ -11,12 +11,45 @@ from ..schema import PAGE
 
 #: slug -> (display name, provider of raw output, normaliser)
 _registry: dict[str, tuple[str, Callable | None, Callable[[DataFrame], DataFrame]]] = {}
+#: slug -> settings: name -> (type, default)
+_settings: dict[str, dict[str, tuple[type, object]]] = {}
+#: Installed packages offer engines under this group of entry points: functions that call register().
+GROUP = "pageloom.engines"
 
 
-def register(slug: str, display_name: str, normalize: Callable[[DataFrame], DataFrame], provide: Callable | None = None) -> None:
+def register(slug: str, display_name: str, normalize: Callable[[DataFrame], DataFrame], provide: Callable | None = None, settings: dict[str, tuple[type, object]] | None = None) -> None:
     if slug in _registry:
         raise ValueError(f"engine {slug!r} is registered")
     _registry[slug] = (display_name, provide, normalize)
+    _settings[slug] = dict(settings or {})
+
+
+def config_schema(slug: str) -> dict:
+    """An engine's settings as a JSON schema."""
+    kinds = {str: "string", int: "integer", float: "number", bool: "boolean"}
+    return {"type": "object", "properties": {n: {"type": kinds[t], "default": d} for n, (t, d) in _settings[slug].items()}}
+
+
+def configured(slug: str, user: dict | None = None) -> dict:
+    """The defaults with the user's settings over them. ValueError for an unknown setting or one of another type."""
+    own = _settings[slug]
+    for n, v in (user or {}).items():
+        if n not in own:
+            raise ValueError(f"engine {slug!r} has no setting {n!r}")
+        kind = own[n][0]
+        if isinstance(v, bool) != (kind is bool) or not isinstance(v, (int, float) if kind is float else kind):
+            raise ValueError(f"setting {n!r} of engine {slug!r} must be of type {kind.__name__}")
+    return {n: d for n, (_, d) in own.items()} | (user or {})
+
+
+def discover() -> list[str]:
+    """Lets installed packages register their engines, each once; the slugs that are known then."""
+    from importlib.metadata import entry_points
+
+    for e in entry_points(group=GROUP):
+        if e.name not in _registry:
+            e.load()()
+    return sorted(_registry)
 
 
 def get(slug: str) -> tuple[str, Callable | None, Callable[[DataFrame], DataFrame]]:

@@ -218,6 +218,11 @@ def polygon_box(points: Column, width: Column, height: Column) -> Column:
     return _box(F.array_min(xs) * width, F.array_min(ys) * height, F.array_max(xs) * width, F.array_max(ys) * height)
 
 
+def textract_pages(blocks: Column) -> Column:
+    """How many pages an array of TX has: its PAGE blocks, 1 at least."""
+    return F.greatest(F.size(F.filter(F.coalesce(blocks, F.array().cast(f"array<{TX}>")), lambda b: b["BlockType"] == "PAGE")), F.lit(1))
+
+
 def textract(raw: DataFrame, blocks: str = "blocks", key: str = "doc_id") -> DataFrame:
     """Rows with key and an array of TX: a row per page with page_number and data.
 
@@ -298,8 +303,13 @@ def markdown_blocks(pages: DataFrame, *keys: str, text: str = "raw_text") -> Dat
     return out
 
 
+def _number(pages: DataFrame) -> Column:
+    """The page's own number; 1 where rows have none or it is null."""
+    return F.coalesce(F.col("page_number").cast("int"), F.lit(1)) if "page_number" in pages.columns else F.lit(1)
+
+
 def vlm_markdown(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
-    """pages: keys, width, height, text. Adds data (a page without blocks for an empty text)."""
+    """pages: keys, width, height, text, and page_number if there is more than one page. Adds data (a page without blocks for an empty text)."""
     blocks = markdown_blocks(pages, *keys, text=text)
     n = F.count("*").over(W.partitionBy(*keys))
     met = blocks.withColumn("n", n).join(pages.select(*keys, "width", "height"), list(keys))
@@ -307,7 +317,7 @@ def vlm_markdown(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFr
     made = met.withColumn("ls", ls).where(F.size("ls") > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "ls"))).alias("bs"))
     got = pages.join(made, list(keys), "left")
     full = F.transform(F.coalesce("bs", F.array().cast(f"array<struct<block:int,ls:array<{LINE}>>>")), lambda b, i: block_of(b["ls"], i))
-    return got.withColumn("data", page_of(F.lit(1), F.col("width"), F.col("height"), full)).drop("bs")
+    return got.withColumn("data", page_of(_number(pages), F.col("width"), F.col("height"), full)).drop("bs")
 
 
 ITEM = "array<struct<text:string,content:string,confidence:double>>"
@@ -329,7 +339,7 @@ def vlm_json(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
     box = lambda x: slice_box(x["i"], F.size("_i"), F.col("width"), F.col("height"))
     lines = lambda x: even_lines(F.filter(F.split(x["t"], "\n"), lambda l: F.trim(l) != ""), box(x))
     blocks = F.transform(F.filter("_i", lambda x: F.trim(x["t"]) != ""), lambda x: F.struct(F.lit("text").alias("type"), box(x).alias("bbox"), x["c"].alias("confidence"), x["i"].alias("order"), lines(x).alias("lines")).cast(BLOCK))
-    done = parsed.withColumn("data", page_of(F.lit(1), F.col("width"), F.col("height"), blocks)).drop("_v", "_i", "_good")
+    done = parsed.withColumn("data", page_of(_number(pages), F.col("width"), F.col("height"), blocks)).drop("_v", "_i", "_good")
     rest = vlm_markdown(tagged.where("NOT _good").drop("_good"), *keys, text=text)
     return done.unionByName(rest)
 
