@@ -15,9 +15,9 @@ STATISTICS = {"mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "ma
 LIMITS = tuple(int((1 << 48) * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(13))
 
 
-def weight(seed: int, resample: Column, *row: Column) -> Column:
-    """How often a resample holds a row: Poisson(1), from a hash of the seed, the resample and the row's own keys."""
-    text = F.concat_ws(":", F.lit(str(seed)), resample.cast("string"), *(F.coalesce(c.cast("string"), F.lit("null")) for c in row))
+def weight(seed: int, resample: Column, row: Column) -> Column:
+    """How often a resample holds a row: Poisson(1), from a hash of the seed, the resample and the row's name."""
+    text = F.concat_ws(":", F.lit(str(seed)), resample.cast("string"), F.coalesce(row.cast("string"), F.lit("null")))
     u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
     return functools.reduce(lambda a, b: a + b, [(u >= limit).cast("int") for limit in LIMITS])
 
@@ -25,12 +25,12 @@ def weight(seed: int, resample: Column, *row: Column) -> Column:
 def resamples(values: DataFrame, *keys: str, value: str = "value", order: str = "ord", times: int = 1000, seed: int = 7, statistic: str | Callable[[Column], Column] = "mean") -> DataFrame:
     """A row per group and resample: keys, resample, stat. statistic: a name of STATISTICS, or any aggregate of a column.
 
-    Each row stands in a resample as often as a Poisson(1) number of its own says (`order` names it), which is drawing with
-    replacement for groups of more than a few rows. So no row is numbered, gathered or joined: it multiplies within its task, and
+    Each row stands in a resample as often as a Poisson(1) number says, which is drawing with replacement for groups of more
+    than a few rows. `order` names it, by a page say, and rows of one name in different groups are drawn together. So no row is numbered, gathered or joined: it multiplies within its task, and
     sums are combined there. A resample without rows, which only a group of very few has, is left out.
     """
     at = values.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("_v"))
-    drawn = at.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_w", weight(seed, F.col("resample"), *(F.col(k) for k in keys), F.col(order))).where("_w > 0")
+    drawn = at.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_w", weight(seed, F.col("resample"), F.col(order))).where("_w > 0")
     if statistic in ("mean", "sum"):
         total = F.sum(F.col("_v") * F.col("_w"))
         return drawn.groupBy(*keys, "resample").agg((total / F.sum("_w") if statistic == "mean" else total).alias("stat"))

@@ -112,6 +112,13 @@ def consensus_pages(votes_: DataFrame, *keys: str) -> DataFrame:
     return made.select(*keys, F.array(F.struct(F.lit("text").alias("type"), F.lit(0).alias("order"), F.array(line).alias("lines"))).alias("blocks"))
 
 
+def ground_truth_pages(votes_: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
+    """Pages of a ground-truth version made from consensus: keys, blocks, confidence (1 - the page's entropy), needs_review.
+    pages: what route() returns for them. Rejected pages, and those without engines, are left out."""
+    kept = pages.where(F.col("source").isNotNull()).select(*keys, (1 - F.col("entropy")).alias("confidence"), "needs_review")
+    return consensus_pages(votes_, *keys).join(kept, list(keys))
+
+
 def statuses(grid: DataFrame, votes_: DataFrame, *keys: str) -> DataFrame:
     """Each engine at each position against the mean_tie winner: match, wrong or missing; and `extra` for insertions."""
     won = votes_.select(*keys, "position", F.col("mean_tie").alias("consensus"), F.col("mean_tie_confidence").alias("consensus_confidence"))

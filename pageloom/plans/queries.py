@@ -444,7 +444,7 @@ def table_structure(spark, d):
 
 
 WEIGHT = " + ".join(f"CAST(u >= {x} AS INTEGER)" for x in bootstrap.LIMITS)
-DRAWS = f"""t AS (SELECT engine AS k, c AS v, b, CAST('0x' || md5('7:' || b || ':' || engine || ':' || doc_id)[1:12] AS BIGINT) AS u FROM (SELECT *, unnest(range(1000)) AS b FROM s)),
+DRAWS = f"""t AS (SELECT engine AS k, c AS v, b, CAST('0x' || md5('7:' || b || ':' || doc_id)[1:12] AS BIGINT) AS u FROM (SELECT *, unnest(range(1000)) AS b FROM s)),
 u AS (SELECT k, b, sum(v * w) / sum(w) AS stat FROM (SELECT *, {WEIGHT} AS w FROM t) WHERE w > 0 GROUP BY k, b),
 o AS (SELECT k, stat, row_number() OVER (PARTITION BY k ORDER BY stat) - 1 AS r FROM u)"""
 SCORES = f"{READ}, s AS (SELECT engine, doc_id, levenshtein(ref, hyp)::DOUBLE / length(ref) AS c FROM r)"

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +23,11 @@ def _box(*xs: Column) -> Column:
     return F.array(*(x.cast("double") for x in xs))
 
 
+def bind(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value worked out once however often make names it: as a lambda's variable, not as an expression."""
+    return F.transform(F.array(value), make)[0]
+
+
 def union_box(items: Column) -> Column:
     """The box around all items' boxes; zeros without any."""
     at = lambda i, f: f(F.transform(items, lambda x: x["bbox"][i]))
@@ -33,22 +40,28 @@ def mean_confidence(items: Column) -> Column:
 
 def even_chars(text: Column, box: Column, confidence: Column) -> Column:
     """Characters spread evenly over a word's box."""
-    n = F.length(text)
-    w = (box[2] - box[0]) / F.greatest(n, F.lit(1))
-    one = lambda i: F.struct(F.substring(text, i + 1, F.lit(1)).alias("char"), _box(box[0] + i * w, box[1], box[0] + (i + 1) * w, box[3]).alias("bbox"), confidence.alias("confidence"), i.alias("order"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one)).otherwise(_empty(CHAR))
+
+    def make(v: Column) -> Column:
+        n, b = F.length(v["t"]), v["b"]
+        w = (b[2] - b[0]) / F.greatest(n, F.lit(1))
+        one = lambda i: F.struct(F.substring(v["t"], i + 1, F.lit(1)).alias("char"), _box(b[0] + i * w, b[1], b[0] + (i + 1) * w, b[3]).alias("bbox"), v["c"].alias("confidence"), i.alias("order"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one)).otherwise(_empty(CHAR))
+
+    return bind(F.struct(text.alias("t"), box.alias("b"), confidence.alias("c")), make)
 
 
 def word_of(text: Column, box: Column, confidence: Column, order: Column, chars: Column | None = None) -> Column:
-    return F.struct(text.alias("text"), box.alias("bbox"), confidence.alias("confidence"), order.cast("int").alias("order"), (chars if chars is not None else even_chars(text, box, confidence)).alias("chars")).cast(WORD)
+    if chars is not None:
+        return F.struct(text.alias("text"), box.alias("bbox"), confidence.alias("confidence"), order.cast("int").alias("order"), chars.alias("chars")).cast(WORD)
+    return bind(F.struct(text.alias("t"), box.alias("b"), confidence.alias("c")), lambda v: word_of(v["t"], v["b"], v["c"], order, even_chars(v["t"], v["b"], v["c"])))
 
 
 def line_of(ws: Column, order: Column, text: Column | None = None) -> Column:
-    return F.struct((text if text is not None else F.array_join(F.transform(ws, lambda w: w["text"]), " ")).alias("text"), union_box(ws).alias("bbox"), mean_confidence(ws).alias("confidence"), order.cast("int").alias("order"), ws.alias("words")).cast(LINE)
+    return bind(ws, lambda v: F.struct((text if text is not None else F.array_join(F.transform(v, lambda w: w["text"]), " ")).alias("text"), union_box(v).alias("bbox"), mean_confidence(v).alias("confidence"), order.cast("int").alias("order"), v.alias("words"))).cast(LINE)
 
 
 def block_of(ls: Column, order: Column) -> Column:
-    return F.struct(F.lit("text").alias("type"), union_box(ls).alias("bbox"), mean_confidence(ls).alias("confidence"), order.cast("int").alias("order"), ls.alias("lines")).cast(BLOCK)
+    return bind(ls, lambda v: F.struct(F.lit("text").alias("type"), union_box(v).alias("bbox"), mean_confidence(v).alias("confidence"), order.cast("int").alias("order"), v.alias("lines"))).cast(BLOCK)
 
 
 def page_of(number: Column, width: Column, height: Column, blocks: Column, tables: Column | None = None) -> Column:
@@ -109,18 +122,19 @@ def tesseract(raw: DataFrame) -> DataFrame:
     rows = rows.withColumn("_g", by_line).withColumn("_flat", F.flatten("_g")).withColumn("_c", char_boxes(F.col("image_to_boxes"), F.col("height").cast("double"), scale))
     inside = lambda c, w: ((c["bbox"][0] + c["bbox"][2]) / 2).between(w["bbox"][0], w["bbox"][2]) & ((c["bbox"][1] + c["bbox"][3]) / 2).between(w["bbox"][1], w["bbox"][3])
     owned = F.transform("_c", lambda c: F.struct(c.alias("c"), F.array_position(F.transform("_flat", lambda w: F.coalesce(inside(c, w), F.lit(False))), True).alias("at")))
-    rows = rows.withColumn("_o", owned)
+    rows = rows.withColumn("_o", owned).withColumn("_places", F.transform("_flat", lambda x: x["o"]))
 
     def word(w: Column, i: Column) -> Column:
-        mine = F.transform(F.filter("_o", lambda o: o["at"] == F.array_position(F.transform("_flat", lambda x: x["o"]), w["o"])), lambda o: o["c"])
-        chars = F.transform(mine, lambda c, k: F.struct(c["char"].alias("char"), c["bbox"].alias("bbox"), w["confidence"].alias("confidence"), k.alias("order")))
-        return word_of(w["text"], w["bbox"], w["confidence"], i, F.when(F.size(chars) > 0, chars.cast(f"array<{CHAR}>")).otherwise(even_chars(w["text"], w["bbox"], w["confidence"])))
+        mine = bind(F.array_position("_places", w["o"]), lambda at: F.filter("_o", lambda o: o["at"] == at))
+        chars = F.transform(mine, lambda o, k: F.struct(o["c"]["char"].alias("char"), o["c"]["bbox"].alias("bbox"), w["confidence"].alias("confidence"), k.alias("order")))
+        own = bind(chars, lambda v: F.when(F.size(v) > 0, v.cast(f"array<{CHAR}>")).otherwise(even_chars(w["text"], w["bbox"], w["confidence"])))
+        return word_of(w["text"], w["bbox"], w["confidence"], i, own)
 
     rows = rows.withColumn("_ws", F.transform("_g", lambda g: F.struct(g[0]["b"].alias("b"), F.transform(g, word).alias("ws"))))
     kinds = F.array_distinct(F.transform("_ws", lambda x: x["b"]))
     blocks = F.transform(kinds, lambda b, i: block_of(F.transform(F.filter("_ws", lambda x: x["b"] == b), lambda x, k: line_of(x["ws"], k)), i))
     data = page_of(F.col("page_number"), F.col("width").cast("double") * scale, F.col("height").cast("double") * scale, blocks)
-    return rows.withColumn("data", data).drop("_w", "_lines", "_g", "_flat", "_c", "_o", "_ws")
+    return rows.withColumn("data", data).drop("_w", "_lines", "_g", "_flat", "_c", "_o", "_places", "_ws")
 
 
 # Document AI: elements point into one text by character offsets; containment of ranges makes the hierarchy.
@@ -231,7 +245,7 @@ def textract(raw: DataFrame, blocks: str = "blocks", key: str = "doc_id") -> Dat
     text is its own. Inches become points; a page without a size is Letter.
     """
     b = raw.select(key, F.posexplode(F.col(blocks).cast(f"array<{TX}>")).alias("_n", "x")).select(key, "_n", "x.*")
-    child = F.element_at(F.filter("Relationships", lambda r: r["Type"] == "CHILD"), 1)["Ids"]
+    child = F.try_element_at(F.filter("Relationships", lambda r: r["Type"] == "CHILD"), F.lit(1))["Ids"]
     pages = b.where("BlockType = 'PAGE'").select(key, F.coalesce("Page", F.lit(1)).alias("page_number"), (F.coalesce("Width", F.lit(8.5)) * POINTS).alias("w"), (F.coalesce("Height", F.lit(11.0)) * POINTS).alias("h"), child.alias("ids"))
     first = b.select(key, F.col("Id").alias("id"), "BlockType", "Text", (F.coalesce("Confidence", F.lit(0.0)) / 100).alias("confidence"), F.col("Geometry.BoundingBox").alias("g"), child.alias("ids"), "RowIndex", "ColumnIndex", "RowSpan", "ColumnSpan")
     box = lambda g, w, h: _box(*(F.coalesce(x, F.lit(0.0)) for x in (g["Left"] * w, g["Top"] * h, (g["Left"] + g["Width"]) * w, (g["Top"] + g["Height"]) * h)))
@@ -269,17 +283,25 @@ def slice_box(i: Column, n: Column, width: Column, height: Column) -> Column:
 
 
 def even_words(text: Column, box: Column) -> Column:
-    ws = split_words(text)
-    w = (box[2] - box[0]) / F.greatest(F.size(ws), F.lit(1))
-    return F.transform(ws, lambda t, i: word_of(t, _box(box[0] + i * w, box[1], box[0] + (i + 1) * w, box[3]), F.lit(1.0), i))
+    def make(v: Column) -> Column:
+        b = v["b"]
+        w = (b[2] - b[0]) / F.greatest(F.size(v["ws"]), F.lit(1))
+        return F.transform(v["ws"], lambda t, i: word_of(t, _box(b[0] + i * w, b[1], b[0] + (i + 1) * w, b[3]), F.lit(1.0), i))
+
+    return bind(F.struct(split_words(text).alias("ws"), box.alias("b")), make)
 
 
 def even_lines(lines: Column, box: Column) -> Column:
     """Lines spread over the height of a box; blank ones keep their place and are left out."""
-    h = (box[3] - box[1]) / F.greatest(F.size(lines), F.lit(1))
-    at = lambda i: _box(box[0], box[1] + i * h, box[2], box[1] + (i + 1) * h)
-    made = F.transform(lines, lambda t, i: F.struct(F.trim(t).alias("text"), at(i).alias("bbox"), F.lit(1.0).alias("confidence"), i.alias("order"), even_words(t, at(i)).alias("words")).cast(LINE))
-    return F.filter(made, lambda l: l["text"] != "")
+
+    def make(v: Column) -> Column:
+        b = v["b"]
+        h = (b[3] - b[1]) / F.greatest(F.size(v["ls"]), F.lit(1))
+        at = lambda i: _box(b[0], b[1] + i * h, b[2], b[1] + (i + 1) * h)
+        line = lambda t, i: bind(at(i), lambda x: F.struct(F.trim(t).alias("text"), x.alias("bbox"), F.lit(1.0).alias("confidence"), i.alias("order"), even_words(t, x).alias("words"))).cast(LINE)
+        return F.transform(v["ls"], line)
+
+    return F.filter(bind(F.struct(lines.alias("ls"), box.alias("b")), make), lambda l: l["text"] != "")
 
 
 def markdown_blocks(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:

@@ -283,3 +283,58 @@ def test_layout_operators(spark):
     rows = spark.createDataFrame([(1, w[1], True) for w in words], "k int, bbox array<double>, agrees boolean")
     lines = layout.line_agreement(layout.line_islands(rows, "k"), "k").orderBy("line").collect()
     assert [(r["level"], r["x1"]) for r in lines] == [("full", 90.0), ("full", 50.0)]
+
+
+def test_own_statistic(spark):
+    rows = spark.createDataFrame([(i, float(i)) for i in range(40)], "ord int, value double")
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    a = one(bootstrap.confidence_interval(rows, times=60, statistic=half))
+    assert a == one(bootstrap.confidence_interval(rows, times=60, statistic="median"))
+    assert 8 < a["lower"] < a["median"] < a["upper"] < 31
+
+
+def test_model_pages_keep_their_numbers(spark):
+    from pageloom.sources import normalize
+
+    rows = spark.createDataFrame([("d", 1, 612.0, 792.0, "# A\n\nb c"), ("d", 2, 612.0, 792.0, "x"), ("d", 3, 612.0, 792.0, "")], "doc_id string, page_number int, width double, height double, raw_text string")
+    for form in ("markdown", "json"):
+        got = normalize.vlm(rows, "doc_id", "page_number", form=form)
+        assert sorted(r[0] for r in got.select("data.page_number").collect()) == [1, 2, 3]
+    assert normalize.vlm(rows.where("page_number = 1").drop("page_number"), "doc_id").first()["data"]["page_number"] == 1
+
+
+def test_comparison_checks(spark):
+    import uuid
+
+    import pytest
+
+    ids = [str(uuid.UUID(int=i)) for i in range(8)]
+    runs = spark.createDataFrame([(x, "p" if i < 4 else "q", "failed" if i == 3 else "completed") for i, x in enumerate(ids[:6])], "run_id string, pdf_id string, status string")
+    assert catalog.check_comparison([ids[0], " ", ids[1].upper()], runs, "p") == ids[:2]
+    for bad, kind, pdf in (([ids[0]], ValueError, None), (ids[:6], ValueError, None), (["x", ids[0]], ValueError, None), ([ids[0], ids[7]], LookupError, None), ([ids[0], ids[4]], ValueError, "p"), ([ids[0], ids[3]], ValueError, "p")):
+        with pytest.raises(kind):
+            catalog.check_comparison(bad, runs, pdf)
+
+
+def test_engine_settings():
+    import pytest
+
+    from pageloom.sources import engines
+
+    engines.register("own-test", "Own", lambda df: df, settings={"dpi": (int, 300), "lang": (str, "eng"), "scale": (float, 1.0), "fast": (bool, False)})
+    assert engines.configured("own-test", {"dpi": 200, "scale": 2}) == {"dpi": 200, "lang": "eng", "scale": 2, "fast": False}
+    assert engines.config_schema("own-test")["properties"]["dpi"] == {"type": "integer", "default": 300}
+    assert "own-test" in engines.discover()
+    for bad in ({"x": 1}, {"dpi": "300"}, {"dpi": True}, {"fast": 1}):
+        with pytest.raises(ValueError):
+            engines.configured("own-test", bad)
+
+
+def test_tree_order_and_own_similarity(spark):
+    words = [("c", [200.0, 0.0, 210.0, 10.0], 1.0), ("a", [0.0, 0.0, 10.0, 10.0], 1.0), ("b", [40.0, 0.0, 50.0, 10.0], 1.0), ("none", None, 1.0)]
+    got = layout.tree_order(spark.createDataFrame([(1, words)], f"k int, words {layout.WORDS}"), "k").orderBy("order").collect()
+    assert [r["word"]["text"] for r in got] == ["a", "b", "c"]
+    cell = lambda t: [(0, 0, 1, 1, t, [0.0, 0.0, 1.0, 1.0])]
+    box = [0.0, 0.0, 9.0, 9.0]
+    pages = spark.createDataFrame([(1, [(box, cell("a"))], [(box, cell("b"))])], f"k int, pred_tables {layout.TABLES}, gt_tables {layout.TABLES}")
+    assert one(layout.table_metrics(pages, "k"))["grits_con"] == 0 and one(layout.table_metrics(pages, "k", similarity=lambda a, b: 0.5))["grits_con"] == 0.5
