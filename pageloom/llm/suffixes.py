@@ -18,6 +18,8 @@ GRAM, STRETCH = 99, 1 << 20
 MERGE_BYTES = 4 << 20
 #: Contexts of one core that are compared as a table; beyond that, by classes.
 TABLE = 512
+#: Bytes of contexts, and rows of places, that a task holds before it sends them on.
+HELD, PLACES = 32 << 20, 1 << 15
 #: A core with more occurrences than this isn't merged in one task: its strings are grouped by digest instead.
 HOT = 1 << 16
 
@@ -362,7 +364,7 @@ def repeats(df: DataFrame, size: int = 400, text: str = "text", id_column: str =
         rows: list[tuple] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> None:
             parts: dict[int, list] = {}
             for (suffix, left), (digest, times, c, hot) in own.items():
                 if hot:
@@ -370,9 +372,12 @@ def repeats(df: DataFrame, size: int = 400, text: str = "text", id_column: str =
                     rows.append((-3, None, digest, core, left, suffix[cut.core :], times, None, None, None))
                 else:
                     parts.setdefault(c % merges, []).append((suffix, left, digest, times))
-            rows.extend((k, encode_run(sorted(v)), *[None] * 8) for k, v in sorted(parts.items()))
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())], list(columns))
             own.clear()
+            for k in sorted(parts):
+                rows.append((k, encode_run(sorted(parts.pop(k))), *[None] * 8))
+
+        def send() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())], list(columns))
             rows.clear()
             return out
 
@@ -399,11 +404,15 @@ def repeats(df: DataFrame, size: int = 400, text: str = "text", id_column: str =
                         rows.extend((-2, *[None] * 6, text_id, y - len(left), y + len(suffix)) for y in starts)
                     else:
                         rows.append((-1, None, item[0], *[None] * 4, text_id, starts[0], None))
-            if held > 64 << 20 or len(rows) > 1 << 17:
-                held = 0
-                yield flush()
-        if own or rows:
-            yield flush()
+                if held > HELD:
+                    held = 0
+                    flush()
+                    yield send()
+                elif len(rows) > PLACES:
+                    yield send()
+        flush()
+        if rows:
+            yield send()
 
     sent = keep(met.select("text", "raw", "cores", "hot").mapInArrow(runs, "merge int, run binary, digest binary, core binary, left binary, right binary, times int, text long, s long, e long"), "runs")
 
