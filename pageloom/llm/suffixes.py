@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, drop, keep, mix64
+from .common import batches, drop, keep, mix64, tasks_for
 
 #: Bytes of a gram; a text is worked through in stretches of so many bytes.
 GRAM, STRETCH = 99, 1 << 20
@@ -420,7 +420,8 @@ def repeats(df: DataFrame, size: int = 400, text: str = "text", id_column: str =
         out = list(covered(t["run"].to_pylist(), cut))
         return pa.table({"digest": pa.array([x[0] for x in out], pa.binary()), "a": pa.array([x[1] for x in out], pa.int32()), "b": pa.array([x[2] for x in out], pa.int32())})
 
-    outcome = sent.where("merge >= 0").select("merge", "run").groupBy("merge").applyInArrow(join_runs, "digest binary, a int, b int")
+    # Sixteen merges to a task, however many there are: the session's number of partitions doesn't grow with the input.
+    outcome = sent.where("merge >= 0").select("merge", "run").repartition(max(tasks_for(df), -(-merges // 16)), "merge").groupBy("merge").applyInArrow(join_runs, "digest binary, a int, b int")
     hot = sent.where("merge = -3").select("digest", "core", "left", "right", "times")
     if not hot.isEmpty():
         outcome = outcome.unionByName(grouped(hot, cut))
