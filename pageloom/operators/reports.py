@@ -29,13 +29,20 @@ def run_metrics(runs: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def summary(pdfs: DataFrame, metrics: DataFrame, pages: DataFrame, engines: DataFrame) -> DataFrame:
     """One row: total_pdfs (live), total_runs, completed_runs, total_pages (of completed runs), avg_cer, avg_wer, best_engine."""
-    zero = F.lit(0.0)
-    r = metrics.agg(F.count("*").alias("total_runs"), F.count_if(F.col("status") == "completed").alias("completed_runs"), F.round(F.coalesce(F.avg("cer"), zero), 4).alias("avg_cer"), F.round(F.coalesce(F.avg("wer"), zero), 4).alias("avg_wer"))
-    best = metrics.where("status = 'completed' AND cer IS NOT NULL").groupBy("engine_id").agg(F.avg("cer").alias("c")).join(short_list(engines.select("engine_id", "slug")), "engine_id").agg(F.min_by("slug", F.struct("c", "slug")).alias("best_engine"))
+    done = F.col("status") == "completed"
+    # One pass: sums by engine, of which the rest is made.
+    per = metrics.groupBy("engine_id").agg(
+        F.count("*").alias("n"), F.count_if(done).alias("done"), *(f(c).alias(f"{n}_{c}") for c in ("cer", "wer") for n, f in (("sum", F.sum), ("count", F.count))), F.avg(F.when(done, F.col("cer"))).alias("own")
+    )
+    mean = lambda c: F.round(F.coalesce(F.try_divide(F.sum(f"sum_{c}"), F.sum(f"count_{c}")), F.lit(0.0)), 4)
+    rank = F.when(F.col("own").isNotNull() & F.col("slug").isNotNull(), F.struct("own", "slug"))
+    r = per.join(short_list(engines.select("engine_id", "slug")), "engine_id", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_runs"), F.coalesce(F.sum("done"), F.lit(0)).alias("completed_runs"), mean("cer").alias("avg_cer"), mean("wer").alias("avg_wer"), F.min(rank)["slug"].alias("best_engine")
+    )
     p = pdfs.where("deleted_at IS NULL").agg(F.count("*").alias("total_pdfs"))
     g = pages.join(metrics.where("status = 'completed'").select("run_id"), "run_id", "left_semi").agg(F.count("*").alias("total_pages"))
     one = p
-    for x in (r, g, best):
+    for x in (r, g):
         one = one.join(F.broadcast(x), F.lit(True))  # each is a single row
     return one
 
