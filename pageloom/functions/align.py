@@ -10,6 +10,8 @@ import numpy as np
 DIAG, UP, LEFT, STOP = 1, 2, 3, 0
 #: A table of directions of at most so many cells is kept whole; larger ones are halved until they fit.
 CELLS = 25_000_000
+#: Scores of pairs of items that are kept, at most.
+HELD = 4_000_000
 
 Path = list[tuple[int | None, int | None]]
 
@@ -78,10 +80,13 @@ class Scores:
     def __init__(self, a: Sequence, b: Sequence, match: float, mismatch: float, score: Callable | None):
         self.match, self.mismatch = match, mismatch
         if score is None:
-            self.a, self.b, self.table = *codes(a, b), None
+            self.a, self.b, self.own = *codes(a, b), None
         else:
-            seen = lru_cache(maxsize=None)(score)
-            self.table = np.array([[seen(x, y) for y in b] for x in a], float).reshape(len(a), len(b))
+            # A row for each different item of a over the different items of b, made when it is needed; HELD numbers are kept.
+            self.a, other = a, list(dict.fromkeys(b))
+            place = {y: i for i, y in enumerate(other)}
+            self.b = np.array([place[y] for y in b], np.int64)
+            self.own = lru_cache(maxsize=max(1, HELD // max(1, len(other))))(lambda x: np.array([score(x, y) for y in other], float))
 
     def rows(self, i0: int, j0: int, j1: int, turned: tuple[int, int] | None = None) -> Callable[[int], np.ndarray]:
         if turned:  # from the end of a part backwards
@@ -90,8 +95,8 @@ class Scores:
         return lambda i: self.row(i0 + i, j0, j1)
 
     def row(self, i: int, j0: int, j1: int) -> np.ndarray:
-        if self.table is not None:
-            return self.table[i, j0:j1]
+        if self.own is not None:
+            return self.own(self.a[i])[self.b[j0:j1]]
         return np.where(self.b[j0:j1] == self.a[i], self.match, self.mismatch)
 
 
@@ -115,20 +120,31 @@ def align(a: Sequence, b: Sequence, match: float = 1.0, mismatch: float = -1.0,
     return part(0, len(a), 0, len(b)), total
 
 
-def local(a: Sequence, b: Sequence, match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0, score: Callable | None = None) -> tuple[Path, float]:
-    """Best local alignment; the first of equal best cells, by row, then column."""
+def local(a: Sequence, b: Sequence, match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0, score: Callable | None = None, cells: int = CELLS) -> tuple[Path, float]:
+    """Best local alignment; it ends in the first of equal best cells, by row, then column. Beyond `cells` no table is kept:
+    one pass finds the end, one from there backwards the start, and what lies between is aligned by halves."""
     s, n, m = Scores(a, b, match, mismatch, score), len(a), len(b)
     j = np.arange(m + 1)
-    table = np.zeros((n + 1, m + 1))
+    whole = (n + 1) * (m + 1) <= cells
+    table = np.zeros((n + 1, m + 1)) if whole else None
+    row, top, end = np.zeros(m + 1), 0.0, (0, 0)
     for i in range(1, n + 1):
-        best = np.maximum(table[i - 1] + gap, 0.0)
-        best[1:] = np.maximum(best[1:], table[i - 1, :-1] + s.row(i - 1, 0, m))
+        best = np.maximum(row + gap, 0.0)
+        best[1:] = np.maximum(best[1:], row[:-1] + s.row(i - 1, 0, m))
         best[0] = 0.0
-        table[i] = np.maximum(np.maximum.accumulate(best - j * gap) + j * gap, 0.0)
-    if not table.size or table.max() <= 0:
+        row = np.maximum(np.maximum.accumulate(best - j * gap) + j * gap, 0.0)
+        if whole:
+            table[i] = row
+        if row.max() > top:
+            top, end = float(row.max()), (i, int(row.argmax()))
+    if top <= 0:
         return [], 0.0
-    i, k = divmod(int(table.argmax()), m + 1)
-    top, out = float(table[i, k]), []
+    i, k = end
+    if not whole:
+        i0, k0 = _start(s, i, k, gap, top)
+        path, _ = align(a[i0:i], b[k0:k], match, mismatch, gap, score, cells)
+        return [(None if x is None else x + i0, None if y is None else y + k0) for x, y in path], top
+    out: Path = []
     while i and k and table[i, k] > 0:
         here = table[i, k]
         if _close(here, table[i - 1, k - 1] + s.row(i - 1, k - 1, k)[0]):
@@ -143,6 +159,19 @@ def local(a: Sequence, b: Sequence, match: float = 2.0, mismatch: float = -1.0,
     return out[::-1], top
 
 
+def _start(s: Scores, n: int, m: int, gap: float, top: float) -> tuple[int, int]:
+    """Where an alignment that ends before (n, m) with the score `top` begins: the nearest such row."""
+    j = np.arange(m + 1)
+    row = j * gap
+    for i in range(1, n + 1):
+        best = row + gap
+        best[1:] = np.maximum(best[1:], row[:-1] + s.row(n - i, 0, m)[::-1])
+        row = np.maximum.accumulate(best - j * gap) + j * gap
+        if row.max() >= top or _close(row.max(), top):
+            return n - i, m - int(row.argmax())
+    return 0, 0
+
+
 def aligned_counts(a: Sequence, b: Sequence) -> tuple[int, int, int, int]:
     """Matches, substitutions, insertions, deletions of the global alignment that scores +1 / -1 / -1, in rows of memory:
     the counts travel with the rows, so no table is kept."""

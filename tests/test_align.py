@@ -140,3 +140,21 @@ def test_random_long_pairs_halve_correctly():
     a = [r.choice("abcdefgh") for _ in range(300)]
     b = [x for x in a if r.random() > 0.1]
     assert align.align(a, b, cells=500)[1] == best(a, b)
+
+
+def test_local_without_a_table_scores_the_same():
+    r = random.Random(17)
+    for _ in range(60):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(2))
+        for score in (None, lambda x, y: 2.0 if x == y else -1.0):
+            path, top = align.local(a, b, score=score)
+            other, same = align.local(a, b, score=score, cells=8)
+            value = lambda p: sum(-1 if i is None or j is None else 2 if a[i] == b[j] else -1 for i, j in p)  # noqa: B023, E731
+            assert top == same == value(path) == value(other)
+
+
+def test_scores_of_words_are_kept_within_bounds(monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    plain = align.align(words, words[5:] + ["x"], score=lambda x, y: 2 * align.similarity(x, y) - 1)
+    monkeypatch.setattr(align, "HELD", 10)
+    assert align.align(words, words[5:] + ["x"], score=lambda x, y: 2 * align.similarity(x, y) - 1) == plain
