@@ -48,21 +48,59 @@ OTHER = r"(?i)order|invoice|version|isbn|issn|page|serial|part|ref|date|build|to
 CONTEXT = 24
 
 
-def spans_of(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost non-overlapping matches as (k, s, e, m): code points, end exclusive. Lengths of what lies between
-    matches, and of the matches, add up to positions."""
+#: Items of a block of an array: running() works on blocks, so its work grows with n * BLOCK, not with the square of n.
+BLOCK = 256
+#: A match of a wide pattern has this many characters at least, so CONTEXT // LEAST matches and the gaps between them hold a context.
+LEAST = 6
+
+
+def bind(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value evaluated once however often make uses it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each item, what the items before it combine to (zero for the first); combine is associative.
+
+    Arrays grow item by item in no fold here: that copies the array for each item.
+    """
+    total = lambda items, start: F.aggregate(items, start, combine)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
+
+    def of(blocks: Column, totals: Column) -> Column:
+        with_start = F.transform(blocks, lambda b, i: F.struct(b.alias("b"), total(F.slice(totals, 1, i), zero).alias("start")))
+        return F.flatten(F.transform(with_start, lambda x: F.transform(x["b"], lambda _, j: total(F.slice(x["b"], 1, j), x["start"]))))
+
+    made = bind(blocks, lambda bs: bind(F.transform(bs, lambda b: total(b, zero)), lambda ts: of(bs, ts)))
+    return F.when(F.size(values) > 0, made).otherwise(F.slice(values, 1, 0))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as (g: length of the gap before it, t: the gap's end, m: match), and at last the
+    rest of the text with a null match."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    none = F.array().cast("array<struct<k:int,s:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.right(g, F.lit(CONTEXT)).alias("t"), m.alias("m")))
+    return F.filter(pairs, lambda p: p["m"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("k"), s.alias("s"), e.alias("e"), x["m"].alias("m"))
-        return F.struct(e.alias("at"), F.array_append(acc["out"], one).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step, lambda acc: acc["out"])
+def spans_of(text: Column, pattern: str, kind: int, context: bool = False) -> Column:
+    """Leftmost non-overlapping matches as (k, s, e, m): code points, end exclusive; with context also b, what stands
+    before the match. Lengths of what lies between matches, and of the matches, add up to positions."""
+
+    def place(found: Column, starts: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            s = F.element_at(starts, i + 1) + p["g"]
+            fields = [F.lit(kind).alias("k"), s.alias("s"), (s + F.length(p["m"])).alias("e"), p["m"].alias("m")]
+            if context:
+                past = F.slice(found, F.greatest(i - CONTEXT // LEAST, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT // LEAST)))
+                before = F.array_join(F.transform(past, lambda q: F.concat(q["t"], q["m"])), "")
+                fields.append(F.right(F.concat(before, p["t"]), F.lit(CONTEXT)).alias("b"))
+            return F.struct(*fields)
+
+        return F.transform(found, one)
+
+    lengths = lambda found: F.transform(found, lambda p: p["g"] + F.length(p["m"]))
+    return bind(matches(text, pattern), lambda found: bind(running(lengths(found), F.lit(0), lambda a, x: a + x), lambda starts: place(found, starts)))
 
 
 def luhn(digits: Column) -> Column:
@@ -176,11 +214,22 @@ def _models(seed: int, precision: float) -> list[tuple[list, float]]:
     return out
 
 
-def _accepted(text: Column, base: Column, kind: int, trees: list, least: float, x: Column) -> Column:
-    before = F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
-    free = ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-    f = features(kind, x["m"], before)
-    return F.when(free, boosting.expression(trees, lambda i: f[i]) >= least).otherwise(False)
+def meets(spans: Column, x: Column) -> Column:
+    """Whether x overlaps one of the spans, which don't overlap one another and are sorted: the last that begins before
+    x ends is found by halving."""
+    bits = F.sequence(F.length(F.bin(F.size(spans))) - 1, F.lit(0), F.lit(-1))
+
+    def step(n: Column, bit: Column) -> Column:
+        more = n + F.pow(F.lit(2), bit).cast("int")
+        return F.when(more > F.size(spans), n).when(F.element_at(spans, more)["s"] < x["e"], more).otherwise(n)
+
+    last = F.aggregate(bits, F.lit(0), step)
+    return F.when(F.size(spans) == 0, False).otherwise(bind(last, lambda n: F.when(n > 0, F.element_at(spans, n)["e"] > x["s"]).otherwise(False)))
+
+
+def _accepted(by_kind: Column, kind: int, trees: list, least: float, x: Column) -> Column:
+    f = features(kind, x["m"], x["b"])
+    return F.when(F.exists(by_kind, lambda spans: meets(spans, x)), False).otherwise(boosting.expression(trees, lambda i: f[i]) >= least)
 
 
 def _filtered(spans: Column, test: Callable[[Column], Column]) -> Column:
@@ -190,12 +239,17 @@ def _filtered(spans: Column, test: Callable[[Column], Column]) -> Column:
 def learned_spans(text: Column, base: Column, models: list[tuple[list, float]]) -> Column:
     """Candidates of the wider patterns that overlap no base span and that the trees accept."""
     none = F.array().cast("array<struct<k:int,s:int,e:int,m:string>>")
-    parts = []
-    for k, kind in enumerate(KINDS):
-        test = functools.partial(_accepted, text, base, k, *models[k])
-        found = _filtered(spans_of(text, WIDE[kind], k), test)
-        parts.append(F.when(text.rlike(HINT[kind]) & text.rlike(WIDE[kind]), found).otherwise(none))
-    return F.concat(*parts)
+    bare = lambda spans: F.transform(spans, lambda x: F.struct(*(x[c].alias(c) for c in "ksem")))
+
+    def of(by_kind: Column) -> Column:
+        parts = []
+        for k, kind in enumerate(KINDS):
+            test = functools.partial(_accepted, by_kind, k, *models[k])
+            found = bare(_filtered(spans_of(text, WIDE[kind], k, True), test))
+            parts.append(F.when(text.rlike(HINT[kind]) & text.rlike(WIDE[kind]), found).otherwise(none))
+        return F.concat(*parts)
+
+    return bind(F.transform(F.array(*map(F.lit, range(len(BASE)))), lambda k: F.filter(base, lambda x: x["k"] == k)), of)
 
 
 def with_spans(df: DataFrame, text: Column, seed: int = 11, precision: float = 0.98) -> DataFrame:
@@ -233,13 +287,19 @@ def redact(df: DataFrame, seed: int = 11, precision: float = 0.98) -> DataFrame:
     out = with_spans(df.select(*(F.col(f"`{c}`") for c in names if c not in ("_base", "_added", "_text"))), F.coalesce(F.col("text"), F.lit("")), seed, precision)
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     ordered = F.array_sort(F.transform(F.concat("_base", "_added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.array(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.element_at(tags, x["k"] + 1))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["parts"], more)).otherwise(acc["parts"]).alias("parts"))
-
-    made = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    # Four bytes a character, so that a part is cut out without reading the text before it.
+    wide = F.encode(F.col("text"), "UTF-32")
+    mark = F.unhex(F.lit("0000FEFF"))  # decoding takes a byte order mark away, so each part gets one
+    part = lambda w, s, e: F.decode(F.concat(mark, F.substring(w, s * 4 + 1, (e - s) * 4)), "UTF-32")
+
+    def put(w: Column, spans: Column, past: Column) -> Column:
+        """past: by span, how far those before it reach."""
+        one = lambda x, i: F.when(x["s"] >= F.element_at(past, i + 1), F.concat(part(w, F.element_at(past, i + 1), x["s"]), F.element_at(tags, x["k"] + 1))).otherwise("")
+        end = F.greatest(F.element_at(past, -1), F.element_at(spans, -1)["e"])
+        return F.concat(F.array_join(F.transform(spans, one), ""), part(w, end, (F.octet_length(w) / 4).cast("int")))
+
+    reach = lambda spans: running(F.transform(spans, lambda x: x["e"]), F.lit(0), lambda a, e: F.greatest(a, e))
+    made = bind(wide, lambda w: bind(ordered, lambda spans: bind(reach(spans), lambda past: put(w, spans, past))))
     out = out.withColumn("_text", F.when((F.size("_base") > 0) | (F.size("_added") > 0), made).otherwise(F.col("text")))
     changed = {"text": F.col("_text"), "n_chars": F.when(F.col("_text") == F.col("text"), F.col("n_chars")).otherwise(F.length("_text").cast("long")) if "n_chars" in names else None}
     return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in names if c not in ("_base", "_added", "_text")))

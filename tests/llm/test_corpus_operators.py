@@ -409,6 +409,35 @@ def test_pii_redaction(docs, none):
     assert pii.redact(none).count() == pii.find(none).count() == 0
 
 
+def test_pii_running_and_meets(spark):
+    r = random.Random(5)
+    sizes = [0, 1, 2, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 3 * pii.BLOCK + 7]
+    rows = [(i, [r.randint(0, 9) for _ in range(n)]) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i int, v array<int>")
+    got = df.select("v", pii.running(F.col("v"), F.lit(0), lambda a, x: a + x), pii.running(F.col("v"), F.lit(0), lambda a, x: F.greatest(a, x))).collect()
+    for v, sums, most in got:
+        assert sums == [sum(v[:i]) for i in range(len(v))] and most == [max(v[:i], default=0) for i in range(len(v))]
+    cases = []
+    for n in range(9):
+        cuts = sorted(r.sample(range(40), 2 * n))
+        spans = list(zip(cuts[::2], cuts[1::2], strict=True))
+        cases += [(spans, s, s + w) for s in range(0, 40, 3) for w in (1, 2, 9)]
+    df = spark.createDataFrame(cases, "spans array<struct<s:int,e:int>>, s int, e int").withColumn("x", F.struct("s", "e"))
+    for spans, s, e, met in df.select("spans", "s", "e", pii.meets(F.col("spans"), F.col("x"))).collect():
+        assert met == any(a < e and s < b for a, b in spans)
+
+
+def test_pii_many_spans_in_one_text(spark):
+    one, marks = "call joe (at) ex dot com or a@b.cc \U0001f600 ", "\ufeff"
+    n = 6000  # work that grows with the square of the spans would take minutes
+    text = marks + one * n + marks
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.find(row).first()
+    assert found["n_email"] == n and len(found["spans"].split(",")) == 2 * n
+    assert found["spans"].split(",")[:2] == [f"email:{1 + one.index('joe')}:{1 + one.index(' or')}", f"email:{1 + one.index('a@b')}:{1 + one.index(' \U0001f600')}"]
+    assert pii.redact(row).first()["text"] == marks + "call [EMAIL] or [EMAIL] \U0001f600 " * n + marks
+
+
 def test_pii_model_holds_out():
     x, y = np.random.default_rng(1).random((400, 3)), None
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
