@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..operators import catalog, consensus, layout, reports, scoring, text
-from ..schema import page_chars, page_word_list, validate_pages
+from ..schema import page_chars, page_word_list, unfold, validate_pages
 from ..sources import engines, normalize
 from ..sources.files import read_table
 from ..streaming import events
@@ -23,7 +23,7 @@ ITEMS = "i AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_o
 def _items(spark, d):
     l = read_table(spark, d, "lineitem")
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    return l.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return l.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
 def each(make):
@@ -45,7 +45,7 @@ def tesseract_words(spark, d):
         "text": lambda x: F.when(x["l_suppkey"] % 11 == 0, F.lit("  ")).otherwise(F.concat(x["l_returnflag"], x["l_linenumber"].cast("string"))),
     }
     raw = _items(spark, d).select("page_id", F.lit(1).alias("page_number"), F.lit(2550).alias("width"), F.lit(3300).alias("height"), F.lit(300).alias("dpi"), F.struct(*(each(f).alias(k) for k, f in lists.items())).alias("image_to_data"), F.lit(None).cast("string").alias("image_to_boxes"))
-    data = normalize.tesseract(raw).select("page_id", F.explode("data.blocks").alias("b"))
+    data = unfold(normalize.tesseract(raw), ["page_id"], F.col("data.blocks"), "b")
     lines = data.select("page_id", F.col("b.order").alias("block"), F.explode("b.lines").alias("l"))
     w = lines.select("page_id", "block", F.col("l.order").alias("line"), F.explode("l.words").alias("w"))
     box = lambda k: F.round(F.col("w.bbox")[k], 4)

@@ -28,6 +28,13 @@ def type_of(ddl: str) -> T.DataType:
     return T._parse_datatype_string(ddl)
 
 
+def unfold(rows: DataFrame, keep: list[str], items: F.Column, *names: str) -> DataFrame:
+    """A row for each item that isn't null: keep, then the item, or its position and itself, by name. `items` is worked out once for
+    a row: of a plain explode() the optimizer makes a filter as well, and pushes that below with all that `items` is made of."""
+    outer = F.explode_outer(items) if len(names) == 1 else F.posexplode_outer(items)
+    return rows.select(*keep, outer.alias(*names)).where(F.col(names[-1]).isNotNull())
+
+
 def page_words(pages: DataFrame, data: str = "data") -> DataFrame:
     """One row per word of each page, in reading order: the other columns, then word_pos, block_index, line_index, word."""
     keys = [c for c in pages.columns if c != data]

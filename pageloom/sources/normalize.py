@@ -24,8 +24,10 @@ def _box(*xs: Column) -> Column:
 
 
 def bind(value: Column, make: Callable[[Column], Column]) -> Column:
-    """make(value), with value worked out once however often make names it: as a lambda's variable, not as an expression."""
-    return F.transform(F.array(value), make)[0]
+    """make(value), with value worked out once however often make names it: as a lambda's variable, not as an expression.
+
+    The lambda is the last step of an aggregate over nothing, as transform() would copy what it makes at every level."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, make)
 
 
 def union_box(items: Column) -> Column:
@@ -42,12 +44,12 @@ def even_chars(text: Column, box: Column, confidence: Column) -> Column:
     """Characters spread evenly over a word's box."""
 
     def make(v: Column) -> Column:
-        n, b = F.length(v["t"]), v["b"]
-        w = (b[2] - b[0]) / F.greatest(n, F.lit(1))
-        one = lambda i: F.struct(F.substring(v["t"], i + 1, F.lit(1)).alias("char"), _box(b[0] + i * w, b[1], b[0] + (i + 1) * w, b[3]).alias("bbox"), v["c"].alias("confidence"), i.alias("order"))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one)).otherwise(_empty(CHAR))
+        w, x, y, z, c = (v[k] for k in ("w", "x", "y", "z", "c"))
+        one = lambda t, i: F.struct(t.alias("char"), _box(x + i * w, y, x + (i + 1) * w, z).alias("bbox"), c.alias("confidence"), i.alias("order"))
+        return F.when(F.length(v["t"]) > 0, F.transform(F.split(v["t"], ""), one)).otherwise(_empty(CHAR))
 
-    return bind(F.struct(text.alias("t"), box.alias("b"), confidence.alias("c")), make)
+    width = (box[2] - box[0]) / F.greatest(F.length(text), F.lit(1))
+    return bind(F.struct(text.alias("t"), width.alias("w"), box[0].alias("x"), box[1].alias("y"), box[3].alias("z"), confidence.alias("c")), make)
 
 
 def word_of(text: Column, box: Column, confidence: Column, order: Column, chars: Column | None = None) -> Column:
@@ -117,24 +119,31 @@ def tesseract(raw: DataFrame) -> DataFrame:
         w["block_num"].alias("b"), F.struct(w["block_num"], w["par_num"], w["line_num"]).alias("l"), F.struct(w["top"].cast("double"), w["left"].cast("double"), i).alias("o"),
         F.trim(w["text"]).alias("text"), _box(at(w, "left"), at(w, "top"), at(w, "left") + at(w, "width"), at(w, "top") + at(w, "height")).alias("bbox"), parse_confidence(w["conf"]).alias("confidence"),
     ))
-    rows = raw.withColumn("_w", own).withColumn("_lines", F.array_distinct(F.transform("_w", lambda w: w["l"])))
-    by_line = F.transform("_lines", lambda k: F.transform(F.array_sort(F.transform(F.filter("_w", lambda w: w["l"] == k), lambda w: F.struct(w["o"].alias("o"), w.alias("w")))), lambda x: x["w"]))
-    rows = rows.withColumn("_g", by_line).withColumn("_flat", F.flatten("_g")).withColumn("_c", char_boxes(F.col("image_to_boxes"), F.col("height").cast("double"), scale))
+    boxes = char_boxes(F.col("image_to_boxes"), F.col("height").cast("double"), scale)
     inside = lambda c, w: ((c["bbox"][0] + c["bbox"][2]) / 2).between(w["bbox"][0], w["bbox"][2]) & ((c["bbox"][1] + c["bbox"][3]) / 2).between(w["bbox"][1], w["bbox"][3])
-    owned = F.transform("_c", lambda c: F.struct(c.alias("c"), F.array_position(F.transform("_flat", lambda w: F.coalesce(inside(c, w), F.lit(False))), True).alias("at")))
-    rows = rows.withColumn("_o", owned).withColumn("_places", F.transform("_flat", lambda x: x["o"]))
-
-    def word(w: Column, i: Column) -> Column:
-        mine = bind(F.array_position("_places", w["o"]), lambda at: F.filter("_o", lambda o: o["at"] == at))
-        chars = F.transform(mine, lambda o, k: F.struct(o["c"]["char"].alias("char"), o["c"]["bbox"].alias("bbox"), w["confidence"].alias("confidence"), k.alias("order")))
-        own = bind(chars, lambda v: F.when(F.size(v) > 0, v.cast(f"array<{CHAR}>")).otherwise(even_chars(w["text"], w["bbox"], w["confidence"])))
-        return word_of(w["text"], w["bbox"], w["confidence"], i, own)
-
-    rows = rows.withColumn("_ws", F.transform("_g", lambda g: F.struct(g[0]["b"].alias("b"), F.transform(g, word).alias("ws"))))
-    kinds = F.array_distinct(F.transform("_ws", lambda x: x["b"]))
-    blocks = F.transform(kinds, lambda b, i: block_of(F.transform(F.filter("_ws", lambda x: x["b"] == b), lambda x, k: line_of(x["ws"], k)), i))
-    data = page_of(F.col("page_number"), F.col("width").cast("double") * scale, F.col("height").cast("double") * scale, blocks)
-    return rows.withColumn("data", data).drop("_w", "_lines", "_g", "_flat", "_c", "_o", "_places", "_ws")
+    # Each step is bound, as a column of its own is put back into the lambdas that name it and worked out for each word again.
+    ordered = lambda ws, k: F.transform(F.sort_array(F.transform(F.filter(ws, lambda w: w["l"] == k), lambda w: F.struct(w["o"].alias("o"), w.alias("w")))), lambda x: x["w"])
+    by_line = lambda ws: bind(F.array_distinct(F.transform(ws, lambda w: w["l"])), lambda ks: F.transform(ks, lambda k: ordered(ws, k)))
+    owned = lambda flat: F.transform(boxes, lambda c: F.struct(c.alias("c"), F.array_position(F.transform(flat, lambda w: F.coalesce(inside(c, w), F.lit(False))), True).alias("at")))
+
+    def word(w: Column, i: Column, chars: Column, places: Column) -> Column:
+        mine = bind(F.array_position(places, w["o"]), lambda at: F.filter(chars, lambda o: o["at"] == at))
+        made = F.transform(mine, lambda o, k: F.struct(o["c"]["char"].alias("char"), o["c"]["bbox"].alias("bbox"), w["confidence"].alias("confidence"), k.alias("order")))
+        some = F.when(F.size(chars) > 0, made.cast(f"array<{CHAR}>")).otherwise(_empty(CHAR))
+        return word_of(w["text"], w["bbox"], w["confidence"], i, bind(some, lambda v: F.when(F.size(v) > 0, v).otherwise(even_chars(w["text"], w["bbox"], w["confidence"]))))
+
+    def with_words(groups: Column) -> Column:
+        def make(v: Column) -> Column:
+            return F.transform(groups, lambda g: F.struct(g[0]["b"].alias("b"), F.transform(g, lambda w, i: word(w, i, v["chars"], v["places"])).alias("ws")))
+
+        return bind(F.flatten(groups), lambda flat: bind(F.struct(owned(flat).alias("chars"), F.transform(flat, lambda x: x["o"]).alias("places")), make))
+
+    def blocks_of(lines: Column) -> Column:
+        kinds = F.array_distinct(F.transform(lines, lambda x: x["b"]))
+        return F.transform(kinds, lambda b, i: block_of(F.transform(F.filter(lines, lambda x: x["b"] == b), lambda x, k: line_of(x["ws"], k)), i))
+
+    blocks = bind(own, lambda ws: bind(by_line(ws), lambda groups: bind(with_words(groups), blocks_of)))
+    return raw.withColumn("data", page_of(F.col("page_number"), F.col("width").cast("double") * scale, F.col("height").cast("double") * scale, blocks))
 
 
 # Document AI: elements point into one text by character offsets; containment of ranges makes the hierarchy.
