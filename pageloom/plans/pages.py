@@ -128,15 +128,15 @@ def _textract(spark, d):
 @query(f"""WITH {ITEMS}, b AS (SELECT page_id, i AS o, 'text' AS type, 'line ' || i AS text, 'a' || i || ' b' || i AS words, round(l_discount * 612, 4) AS x0, round(l_tax * 792, 4) AS y0, round(l_quantity / 100, 6) AS confidence FROM i
 UNION ALL SELECT page_id, count(*), 'table', NULL, NULL, 0, 0, 0.9 FROM i WHERE page_id % 3 = 0 GROUP BY page_id) SELECT page_id AS doc_id, CAST(o AS INTEGER) AS block, type, text, words, x0, y0, confidence FROM b""")
 def textract_blocks(spark, d):
-    b = normalize.textract(_textract(spark, d)).select("doc_id", F.explode("data.blocks").alias("b"))
+    b = unfold(normalize.textract(_textract(spark, d)), ["doc_id"], F.col("data.blocks"), "b")
     line = F.col("b.lines")[0]
     return b.select("doc_id", F.col("b.order").alias("block"), "b.type", line["text"].alias("text"), F.array_join(F.transform(line["words"], lambda w: w["text"]), " ").alias("words"), F.round(F.col("b.bbox")[0], 4).alias("x0"), F.round(F.col("b.bbox")[1], 4).alias("y0"), r6("b.confidence").alias("confidence"))
 
 
 @query(f"""WITH {ITEMS} SELECT page_id AS doc_id, CAST(1 AS INTEGER) AS pages, CAST(count(*) AS INTEGER) AS num_rows, CAST(1 AS INTEGER) AS num_cols, string_agg('c' || i, ' ' ORDER BY i) AS cells FROM i WHERE page_id % 3 = 0 GROUP BY page_id""")
 def textract_tables(spark, d):
-    raw = _textract(spark, d)
-    t = normalize.textract(raw).select("doc_id", F.explode("data.tables").alias("t")).join(raw.select("doc_id", normalize.textract_pages(F.col("blocks")).alias("pages")), "doc_id")
+    raw = _textract(spark, d).withColumn("pages", normalize.textract_pages(F.col("blocks")))
+    t = unfold(normalize.textract(raw, keep=("pages",)), ["doc_id", "pages"], F.col("data.tables"), "t")
     return t.select("doc_id", "pages", F.col("t.num_rows").alias("num_rows"), F.col("t.num_cols").alias("num_cols"), F.array_join(F.transform("t.cells", lambda c: c["text"]), " ").alias("cells"))
 
 

@@ -1,5 +1,4 @@
-"""Raw engine output to the page hierarchy, with built-in array expressions: a page stays in its row, nothing is shuffled
-(but Textract's pointers, which are joined)."""
+"""Raw engine output to the page hierarchy, with built-in array expressions: a page stays in its row, nothing is shuffled."""
 
 from __future__ import annotations
 
@@ -10,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.native import words as split_words
-from ..schema import BLOCK, CELL, CHAR, LINE, PAGE, TABLE, WORD
+from ..schema import BLOCK, CELL, CHAR, LINE, PAGE, TABLE, WORD, unfold
 
 POINTS = 72.0
 
@@ -246,40 +245,68 @@ def textract_pages(blocks: Column) -> Column:
     return F.greatest(F.size(F.filter(F.coalesce(blocks, F.array().cast(f"array<{TX}>")), lambda b: b["BlockType"] == "PAGE")), F.lit(1))
 
 
-def textract(raw: DataFrame, blocks: str = "blocks", key: str = "doc_id") -> DataFrame:
-    """Rows with key and an array of TX: a row per page with page_number and data.
+def by_id(blocks: Column, make: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """make(find): find(id) is the last of an array of TX with that id, or null. Ids lie in about as many lists, by their hash, as a
+    list has ids, so that work grows with the power 1.5 of a document's blocks, not with their square."""
+    lists = F.greatest(F.floor(F.sqrt(F.size(blocks))).cast("int"), F.lit(1))
+
+    def with_lists(n: Column) -> Column:
+        of = lambda i: F.pmod(F.hash(i), n)
+        tagged = F.transform(blocks, lambda b, i: F.struct(b["Id"].alias("id"), of(b["Id"]).alias("h"), i.alias("at")))
+        dealt = bind(tagged, lambda ts: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(ts, lambda t: t["h"] == k)))
+        # Past either end get() is null, and so is that of a null.
+        find = lambda ls: lambda i: F.get(blocks, F.try_element_at(F.filter(F.get(ls, of(i)), lambda t: t["id"] == i), F.lit(-1))["at"])
+        return bind(dealt, lambda ls: make(find(ls)))
+
+    return bind(lists, with_lists)
+
+
+def textract(raw: DataFrame, blocks: str = "blocks", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with key and an array of TX: a row per page with key, the columns `keep`, page_number and data. A document stays in its row.
 
     A page's children in order: lines become one block of one line each, tables a marker block and a table; forms and
     selection marks are left out. Orders are the children's positions, skipped ones included. Cells count from 0; a cell's
-    text is its own. Inches become points; a page without a size is Letter.
+    text is its own. Inches become points; a page without a size is Letter. Of blocks with one id the last counts.
     """
-    b = raw.select(key, F.posexplode(F.col(blocks).cast(f"array<{TX}>")).alias("_n", "x")).select(key, "_n", "x.*")
-    child = F.try_element_at(F.filter("Relationships", lambda r: r["Type"] == "CHILD"), F.lit(1))["Ids"]
-    pages = b.where("BlockType = 'PAGE'").select(key, F.coalesce("Page", F.lit(1)).alias("page_number"), (F.coalesce("Width", F.lit(8.5)) * POINTS).alias("w"), (F.coalesce("Height", F.lit(11.0)) * POINTS).alias("h"), child.alias("ids"))
-    first = b.select(key, F.col("Id").alias("id"), "BlockType", "Text", (F.coalesce("Confidence", F.lit(0.0)) / 100).alias("confidence"), F.col("Geometry.BoundingBox").alias("g"), child.alias("ids"), "RowIndex", "ColumnIndex", "RowSpan", "ColumnSpan")
-    box = lambda g, w, h: _box(*(F.coalesce(x, F.lit(0.0)) for x in (g["Left"] * w, g["Top"] * h, (g["Left"] + g["Width"]) * w, (g["Top"] + g["Height"]) * h)))
-    top = pages.select(key, "page_number", "w", "h", F.posexplode_outer("ids").alias("o", "id")).join(first, [key, "id"], "left")
-    below = top.select(key, "page_number", "w", "h", "o", F.posexplode("ids").alias("k", "id")).join(first.drop("ids"), [key, "id"])
-    sized = below.withColumn("bbox", box(F.col("g"), F.col("w"), F.col("h"))).withColumn("text", F.coalesce("Text", F.lit("")))
-    word = word_of(F.col("text"), F.col("bbox"), F.col("confidence"), F.col("k"))
+    ids = lambda b: F.coalesce(F.try_element_at(F.filter(b["Relationships"], lambda r: r["Type"] == "CHILD"), F.lit(1))["Ids"], F.array().cast("array<string>"))
+    sure = lambda b: F.coalesce(b["Confidence"], F.lit(0.0)) / 100
+    text = lambda b: F.coalesce(b["Text"], F.lit(""))
     less = lambda c, d: F.greatest(F.coalesce(c, F.lit(1)) - d, F.lit(1 - d))
-    cell = F.struct(less(F.col("RowIndex"), 1).alias("row"), less(F.col("ColumnIndex"), 1).alias("col"), less(F.col("RowSpan"), 0).alias("row_span"), less(F.col("ColumnSpan"), 0).alias("col_span"), F.col("text"), F.col("bbox"), F.col("confidence")).cast(CELL)
-    inner = sized.groupBy(key, "page_number", "o").agg(
-        F.array_sort(F.collect_list(F.when(F.col("BlockType") == "WORD", F.struct("k", word.alias("x"))))).alias("ws"), F.array_sort(F.collect_list(F.when(F.col("BlockType") == "CELL", F.struct("k", cell.alias("x"))))).alias("cs")
-    )
-    met = top.join(inner, [key, "page_number", "o"], "left").withColumn("bbox", box(F.col("g"), F.col("w"), F.col("h")))
-    ws = F.transform(F.coalesce("ws", F.array().cast(f"array<struct<k:int,x:{WORD}>>")), lambda v: v["x"])
-    cs = F.transform(F.coalesce("cs", F.array().cast(f"array<struct<k:int,x:{CELL}>>")), lambda v: v["x"])
-    line = F.struct(F.coalesce("Text", F.lit("")).alias("text"), F.col("bbox"), F.col("confidence"), F.lit(0).alias("order"), ws.alias("words")).cast(LINE)
-    is_line, is_table = F.col("BlockType") == "LINE", F.col("BlockType") == "TABLE"
-    block = F.struct(F.when(is_table, "table").otherwise("text").alias("type"), F.col("bbox"), F.col("confidence"), F.col("o").alias("order"), F.when(is_line, F.array(line)).alias("lines")).cast(BLOCK)
-    most = lambda a, b_: F.coalesce(F.array_max(F.transform(cs, lambda c: c[a] + c[b_])), F.lit(0))
-    table = F.struct(F.col("bbox"), most("row", "row_span").alias("num_rows"), most("col", "col_span").alias("num_cols"), F.lit("").alias("caption"), cs.alias("cells")).cast(TABLE)
-    made = met.groupBy(key, "page_number").agg(
-        F.first("w").alias("w"), F.first("h").alias("h"), F.array_sort(F.collect_list(F.when(is_line | is_table, F.struct("o", block.alias("x"))))).alias("bs"), F.array_sort(F.collect_list(F.when(is_table, F.struct("o", table.alias("x"))))).alias("ts")
-    )
-    data = page_of(F.col("page_number"), F.col("w"), F.col("h"), F.transform("bs", lambda v: v["x"]), F.transform("ts", lambda v: v["x"]))
-    return made.select(key, "page_number", data.alias("data"))
+
+    def page(ps: Column, number: Column, find: Callable[[Column], Column]) -> Column:
+        w, h = F.coalesce(ps[0]["Width"], F.lit(8.5)) * POINTS, F.coalesce(ps[0]["Height"], F.lit(11.0)) * POINTS
+
+        def box(b: Column) -> Column:
+            g = b["Geometry"]["BoundingBox"]
+            return _box(*(F.coalesce(x, F.lit(0.0)) for x in (g["Left"] * w, g["Top"] * h, (g["Left"] + g["Width"]) * w, (g["Top"] + g["Height"]) * h)))
+
+        def children(b: Column, kind: str) -> Column:
+            return F.filter(F.transform(ids(b), lambda i, k: F.struct(k.alias("k"), find(i).alias("x"))), lambda c: c["x"]["BlockType"] == kind)
+
+        def line(b: Column) -> Column:
+            ws = F.transform(children(b, "WORD"), lambda c: word_of(text(c["x"]), box(c["x"]), sure(c["x"]), c["k"]))
+            return F.struct(text(b).alias("text"), box(b).alias("bbox"), sure(b).alias("confidence"), F.lit(0).alias("order"), ws.alias("words")).cast(LINE)
+
+        def table(b: Column) -> Column:
+            cell = lambda x: F.struct(less(x["RowIndex"], 1).alias("row"), less(x["ColumnIndex"], 1).alias("col"), less(x["RowSpan"], 0).alias("row_span"), less(x["ColumnSpan"], 0).alias("col_span"), text(x).alias("text"), box(x).alias("bbox"), sure(x).alias("confidence")).cast(CELL)
+            most = lambda cs, a, n: F.coalesce(F.array_max(F.transform(cs, lambda c: c[a] + c[n])), F.lit(0))
+            return bind(F.transform(children(b, "CELL"), lambda c: cell(c["x"])), lambda cs: F.struct(box(b).alias("bbox"), most(cs, "row", "row_span").alias("num_rows"), most(cs, "col", "col_span").alias("num_cols"), F.lit("").alias("caption"), cs.alias("cells")).cast(TABLE))
+
+        is_table = lambda b: b["BlockType"] == "TABLE"
+        block = lambda b, o: F.struct(F.when(is_table(b), "table").otherwise("text").alias("type"), box(b).alias("bbox"), sure(b).alias("confidence"), o.alias("order"), F.when(b["BlockType"] == "LINE", F.array(line(b))).alias("lines")).cast(BLOCK)
+        found = F.flatten(F.transform(ps, lambda p: F.transform(ids(p), lambda i, o: F.struct(o.alias("o"), find(i).alias("x")))))
+        # Blocks that share a page's number are one page; their children stand by their positions.
+        top = bind(F.filter(found, lambda c: c["x"]["BlockType"].isin("LINE", "TABLE")), lambda cs: F.when(F.size(ps) > 1, F.array_sort(cs, lambda a, b: a["o"] - b["o"])).otherwise(cs))
+        made = lambda cs: page_of(number, w, h, F.transform(cs, lambda c: block(c["x"], c["o"])), F.transform(F.filter(cs, lambda c: is_table(c["x"])), lambda c: table(c["x"])))
+        return F.struct(number.alias("page_number"), bind(top, made).alias("data"))
+
+    def pages(bs: Column) -> Column:
+        no = lambda p: F.coalesce(p["Page"], F.lit(1))
+        first = F.filter(bs, lambda b: b["BlockType"] == "PAGE")
+        each = lambda ps, find: F.transform(F.array_distinct(F.transform(ps, no)), lambda n: bind(F.filter(ps, lambda p: no(p) == n), lambda own: page(own, n, find)))
+        return bind(first, lambda ps: by_id(bs, lambda find: each(ps, find)))
+
+    return unfold(raw, [key, *keep], bind(F.col(blocks).cast(f"array<{TX}>"), pages), "_p").select(key, *keep, "_p.page_number", "_p.data")
 
 
 # Models that answer in markdown or JSON, without positions: boxes are laid out by rule.

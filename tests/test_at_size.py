@@ -24,3 +24,28 @@ def made_again(plan):
 def test_tesseract_pages_are_made_once(spark):
     plan, _ = plans(spark, "tesseract_words")
     assert not made_again(plan) and plan.count("arrays_zip(") == 1 and len(plan) < 30_000
+
+
+@tables
+@pytest.mark.parametrize("name", ["textract_blocks", "textract_tables"])
+def test_textract_documents_stay_in_their_rows(spark, name):
+    plan, run = plans(spark, name)
+    assert run.count("Exchange ") == 1 and "Join" not in run and not made_again(plan)  # the one is that of the items
+
+
+def test_textract_ids(spark):
+    """Many blocks, ids that stand twice, unknown or missing ones."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from pageloom.sources import normalize
+
+    rel = lambda *ids: [{"Type": "CHILD", "Ids": list(ids)}]
+    words = [{"Id": f"w{i}", "BlockType": "WORD", "Text": str(i)} for i in range(700)]
+    blocks = [{"Id": "w5", "BlockType": "WORD", "Text": "first"}, {"BlockType": "WORD"}, *words, {"Id": "l", "BlockType": "LINE", "Relationships": rel(*(f"w{i}" for i in range(699, -1, -1)), "no")}, {"Id": "p", "BlockType": "PAGE", "Page": 2, "Relationships": rel("none", "l")}, {"Id": "q", "BlockType": "PAGE", "Page": 3}]
+    raw = spark.createDataFrame([(7, "x", json.dumps(blocks))], "doc_id int, more string, j string").select("doc_id", "more", F.from_json("j", f"array<{normalize.TX}>").alias("blocks"))
+    got = {r["page_number"]: r for r in normalize.textract(raw, keep=("more",)).collect()}
+    block = got[2]["data"]["blocks"][0]
+    assert [w["text"] for w in block["lines"][0]["words"]] == [str(i) for i in range(699, -1, -1)] and block["order"] == 1
+    assert got[3]["data"]["blocks"] == [] and got[3]["more"] == "x"
