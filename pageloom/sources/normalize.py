@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.native import words as split_words
@@ -342,23 +341,36 @@ def even_lines(lines: Column, box: Column) -> Column:
 
 def markdown_blocks(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
     """Blocks of markdown: keys, block (from 0), type (heading, text, code), level, lines. Headings stand alone; blank lines and
-    fences end a block, except that blank lines within a fence belong to it. Gaps and islands over lines, by page."""
-    rows = pages.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n", "line")).withColumn("s", F.trim("line"))
-    w = W.partitionBy(*keys).orderBy("n")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    fence = F.col("s").startswith("```")
-    rows = rows.withColumn("fence", fence).withColumn("code", F.sum(fence.cast("int")).over(upto) % 2 == 1)
-    head = ~F.col("code") & ~F.col("fence") & F.col("s").rlike("^#{1,6}\\s+.+$")
-    rows = rows.withColumn("head", head).withColumn("cut", F.col("fence") | (~F.col("code") & (F.col("s") == "")))
-    new = F.col("head") | F.coalesce(F.lag(F.col("cut") | F.col("head")).over(w), F.lit(True))
-    rows = rows.withColumn("new", new.cast("int")).where("NOT cut").withColumn("island", F.sum("new").over(upto))
-    made = rows.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"), F.bool_or("head").alias("head"), F.bool_or("code").alias("code"), F.min("n").alias("n"), F.first("s").alias("s"))
-    heading = F.regexp_extract("s", "^#{1,6}\\s+(.+)$", 1)
-    out = made.select(
-        *keys, (F.row_number().over(W.partitionBy(*keys).orderBy("n")) - 1).alias("block"), F.when(F.col("head"), "heading").when(F.col("code"), "code").otherwise("text").alias("type"),
-        F.when(F.col("head"), F.length(F.regexp_extract("s", "^(#{1,6})", 1))).alias("level"), F.when(F.col("head"), F.array(heading)).otherwise(F.transform("ls", lambda x: x["line"])).alias("lines"),
-    )
-    return out
+def split_markdown(text: Column) -> Column:
+    """The blocks of a markdown text as an array of type, level, lines; see markdown_blocks."""
+    # A fence is a line that begins with three backticks; what lies between two of them is code. Every part but the first begins with
+    # the end of a fence's line, so that an empty one has no line at all.
+    parts = F.split(F.coalesce(text, F.lit("")), "(?:^|\\n) *```[^\\n]*")
+    made = lambda kind, level, lines: F.struct(F.lit(kind).alias("type"), level.cast("int").alias("level"), lines.alias("lines"))
+
+    def prose(ls: Column) -> Column:
+        n, head, cut = F.size(ls), lambda l: l["head"], lambda l: l["s"] == ""
+        before = lambda i: F.get(ls, i - 1)
+        begins = F.filter(F.transform(ls, lambda l, i: F.when(~cut(l) & (head(l) | (i == 0) | cut(before(i)) | head(before(i))), i)), lambda i: i.isNotNull())
+
+        def block(a: Column, b: Column) -> Column:
+            own = F.filter(F.slice(ls, a + 1, b - a), lambda l: ~cut(l))
+            text_ = made("text", F.lit(None), F.transform(own, lambda l: l["line"]))
+            return bind(F.get(ls, a), lambda l: F.when(head(l), made("heading", F.length(F.regexp_extract(l["s"], "^(#{1,6})", 1)), F.array(F.regexp_extract(l["s"], "^#{1,6}\\s+(.+)$", 1)))).otherwise(text_))
+
+        return bind(begins, lambda bs: F.transform(bs, lambda a, i: block(a, F.coalesce(F.get(bs, i + 1), n))))
+
+    def blocks(p: Column, i: Column) -> Column:
+        lines = bind(F.when(i > 0, F.substr(p, F.lit(2))).otherwise(p), lambda x: F.split(x, "\n"))
+        tagged = F.transform(lines, lambda l: bind(F.trim(l), lambda t: F.struct(l.alias("line"), t.alias("s"), t.rlike("^#{1,6}\\s+.+$").alias("head"))))
+        none = F.array().cast("array<struct<type:string,level:int,lines:array<string>>>")
+        return F.when((i > 0) & (p == ""), none).when(i % 2 == 1, F.array(made("code", F.lit(None), lines))).otherwise(bind(tagged, prose))
+
+    return F.flatten(F.transform(parts, blocks))
+
+
+    fences end a block, except that blank lines within a fence belong to it. A page stays in its row."""
+    return pages.select(*keys, F.posexplode_outer(split_markdown(F.col(text))).alias("block", "_b")).where(F.col("_b").isNotNull()).select(*keys, "block", "_b.*")
 
 
 def _number(pages: DataFrame) -> Column:
@@ -368,14 +380,14 @@ def _number(pages: DataFrame) -> Column:
 
 def vlm_markdown(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
     """pages: keys, width, height, text, and page_number if there is more than one page. Adds data (a page without blocks for an empty text)."""
-    blocks = markdown_blocks(pages, *keys, text=text)
-    n = F.count("*").over(W.partitionBy(*keys))
-    met = blocks.withColumn("n", n).join(pages.select(*keys, "width", "height"), list(keys))
-    ls = even_lines(F.col("lines"), slice_box(F.col("block"), F.col("n"), F.col("width"), F.col("height")))
-    made = met.withColumn("ls", ls).where(F.size("ls") > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "ls"))).alias("bs"))
-    got = pages.join(made, list(keys), "left")
-    full = F.transform(F.coalesce("bs", F.array().cast(f"array<struct<block:int,ls:array<{LINE}>>>")), lambda b, i: block_of(b["ls"], i))
-    return got.withColumn("data", page_of(_number(pages), F.col("width"), F.col("height"), full)).drop("bs")
+def _markdown_page(pages: DataFrame, text: str) -> Column:
+    width, height = F.col("width"), F.col("height")
+    spread = lambda bs: F.transform(bs, lambda b, i: even_lines(b["lines"], slice_box(i, F.size(bs), width, height)))
+    blocks = bind(split_markdown(F.col(text)), lambda bs: F.transform(F.filter(spread(bs), lambda ls: F.size(ls) > 0), block_of))
+    return page_of(_number(pages), width, height, blocks)
+
+
+    return pages.withColumn("data", _markdown_page(pages, text))
 
 
 ITEM = "array<struct<text:string,content:string,confidence:double>>"
@@ -384,22 +396,23 @@ ITEM = "array<struct<text:string,content:string,confidence:double>>"
 def vlm_json(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
     """pages: keys, width, height, text: a JSON list of items or texts, or an object with blocks, pages, text_blocks, or one item.
     What isn't JSON is read as markdown. Confidences that are missing or 0 are 1. Adds data."""
-    v = F.try_parse_json(F.col(text))
-    kind = F.schema_of_variant(v)
-    good = v.isNotNull() & (kind.startswith("ARRAY") | kind.startswith("OBJECT"))
-    tagged = pages.withColumn("_good", F.coalesce(good, F.lit(False)))
-    parsed = tagged.where("_good").withColumn("_v", F.try_parse_json(F.col(text)))
-    get = lambda p: F.try_variant_get("_v", p, "array<variant>")
-    items = F.coalesce(get("$"), get("$.blocks"), get("$.pages"), get("$.text_blocks"), F.array("_v"))
+    width, height = F.col("width"), F.col("height")
     s = lambda x, p, t: F.try_variant_get(x, p, t)
-    of = F.transform(items, lambda x, i: F.struct(i.alias("i"), F.coalesce(s(x, "$.text", "string"), s(x, "$.content", "string"), F.when(F.schema_of_variant(x) == "STRING", s(x, "$", "string")), F.lit("")).alias("t"), F.least(F.coalesce(F.nullif(s(x, "$.confidence", "double"), F.lit(0.0)), F.lit(1.0)), F.lit(1.0)).alias("c")))
-    parsed = parsed.withColumn("_i", of)
-    box = lambda x: slice_box(x["i"], F.size("_i"), F.col("width"), F.col("height"))
-    lines = lambda x: even_lines(F.filter(F.split(x["t"], "\n"), lambda l: F.trim(l) != ""), box(x))
-    blocks = F.transform(F.filter("_i", lambda x: F.trim(x["t"]) != ""), lambda x: F.struct(F.lit("text").alias("type"), box(x).alias("bbox"), x["c"].alias("confidence"), x["i"].alias("order"), lines(x).alias("lines")).cast(BLOCK))
-    done = parsed.withColumn("data", page_of(_number(pages), F.col("width"), F.col("height"), blocks)).drop("_v", "_i", "_good")
-    rest = vlm_markdown(tagged.where("NOT _good").drop("_good"), *keys, text=text)
-    return done.unionByName(rest)
+    get = lambda v, p: s(v, p, "array<variant>")
+    of = lambda x, i: F.struct(i.alias("i"), F.coalesce(s(x, "$.text", "string"), s(x, "$.content", "string"), F.when(F.schema_of_variant(x) == "STRING", s(x, "$", "string")), F.lit("")).alias("t"), F.least(F.coalesce(F.nullif(s(x, "$.confidence", "double"), F.lit(0.0)), F.lit(1.0)), F.lit(1.0)).alias("c"))
+
+    def blocks(items: Column) -> Column:
+        lines = lambda t, b: even_lines(F.filter(F.split(t, "\n"), lambda l: F.trim(l) != ""), b)
+        block = lambda x: bind(slice_box(x["i"], F.size(items), width, height), lambda b: F.struct(F.lit("text").alias("type"), b.alias("bbox"), x["c"].alias("confidence"), x["i"].alias("order"), lines(x["t"], b).alias("lines")).cast(BLOCK))
+        return F.transform(F.filter(items, lambda x: F.trim(x["t"]) != ""), block)
+
+    def page(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        good = v.isNotNull() & (kind.startswith("ARRAY") | kind.startswith("OBJECT"))
+        items = F.transform(F.coalesce(get(v, "$"), get(v, "$.blocks"), get(v, "$.pages"), get(v, "$.text_blocks"), F.array(v)), of)
+        return F.when(F.coalesce(good, F.lit(False)), page_of(_number(pages), width, height, bind(items, blocks))).otherwise(_markdown_page(pages, text))
+
+    return pages.withColumn("data", bind(F.try_parse_json(F.col(text)), page))
 
 
 def vlm(pages: DataFrame, *keys: str, form: str = "markdown", text: str = "raw_text") -> DataFrame:

@@ -49,3 +49,42 @@ def test_textract_ids(spark):
     block = got[2]["data"]["blocks"][0]
     assert [w["text"] for w in block["lines"][0]["words"]] == [str(i) for i in range(699, -1, -1)] and block["order"] == 1
     assert got[3]["data"]["blocks"] == [] and got[3]["more"] == "x"
+
+
+@tables
+@pytest.mark.parametrize(("name", "shuffles"), [("vlm_markdown_pages", 0), ("vlm_json_pages", 1), ("markdown_blocks", 1)])
+def test_pages_of_models_stay_in_their_rows(spark, name, shuffles):
+    plan, run = plans(spark, name)
+    assert run.count("Exchange ") == shuffles and "Join" not in run and "Window" not in run and not made_again(plan)
+
+
+def test_markdown_by_lines(spark):
+    """Against a plain loop over lines."""
+    import random
+    import re
+
+    from pageloom.sources import normalize
+
+    def loop(text):
+        out, code, new = [], False, True
+        for line in (text or "").split("\n"):
+            s = line.strip(" ")
+            if s.startswith("```"):
+                code, new = not code, True
+            elif not code and s == "":
+                new = True
+            elif not code and (m := re.fullmatch(r"(#{1,6})\s+(.+)", s)):
+                out.append(("heading", len(m[1]), [m[2]]))
+                new = True
+            else:
+                if new:
+                    out.append(("code" if code else "text", None, []))
+                out[-1][2].append(line)
+                new = False
+        return out
+
+    r = random.Random(3)
+    atoms = ["", " ", "a b", "```", "  ```x", "# H", "## two", "#no", "####### n", " # pad ", "a ```", "c"]
+    texts = ["\n".join(r.choice(atoms) for _ in range(r.randint(0, 9))) for _ in range(300)] + [None, "```\n\n```"]
+    got = normalize.markdown_blocks(spark.createDataFrame(list(enumerate(texts)), "k int, raw_text string"), "k").orderBy("k", "block").collect()
+    assert [(x["k"], x["type"], x["level"], x["lines"]) for x in got] == [(k, *b) for k, t in enumerate(texts) for b in loop(t)]
