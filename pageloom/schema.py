@@ -88,4 +88,6 @@ def validate_pages(pages: DataFrame, data: str = "data") -> DataFrame:
         "cell": F.exists(cells, lambda x: (x["c"]["row_span"] < 1) | (x["c"]["col_span"] < 1) | (x["c"]["row"] < 0) | (x["c"]["col"] < 0) | (x["c"]["row"] >= x["r"]) | (x["c"]["col"] >= x["k"])),
     }
     found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())))
-    return pages.select(*(c for c in pages.columns if c != data), found.alias("violations")).where(F.size("violations") > 0)
+    # Not by where(), which would be pushed below the pages and make them once more for each rule.
+    some = F.transform(F.array(found), lambda v: F.when(F.size(v) > 0, v))
+    return unfold(pages, [c for c in pages.columns if c != data], some, "violations")

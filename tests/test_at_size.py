@@ -88,3 +88,9 @@ def test_markdown_by_lines(spark):
     texts = ["\n".join(r.choice(atoms) for _ in range(r.randint(0, 9))) for _ in range(300)] + [None, "```\n\n```"]
     got = normalize.markdown_blocks(spark.createDataFrame(list(enumerate(texts)), "k int, raw_text string"), "k").orderBy("k", "block").collect()
     assert [(x["k"], x["type"], x["level"], x["lines"]) for x in got] == [(k, *b) for k, t in enumerate(texts) for b in loop(t)]
+
+
+@tables
+def test_broken_pages_are_made_once(spark):
+    plan, _ = plans(spark, "page_violations")
+    assert not made_again(plan) and len(plan) < 30_000
