@@ -76,7 +76,7 @@ AI = f"{ITEMS}, w AS (SELECT page_id, i, lpad(right(CAST(page_id AS VARCHAR), 2)
 
 @query(f"""WITH {AI} SELECT page_id, CAST(i // 3 AS INTEGER) AS line, CAST(i % 3 AS INTEGER) AS pos, text, round(l_discount * 612, 4) AS x0, round(l_tax * 792, 4) AS y0, round((l_discount + 0.1) * 612, 4) AS x1, round((l_tax + 0.02) * 792, 4) AS y1, round(l_discount * 10, 6) AS confidence FROM w""")
 def document_ai_words(spark, d):
-    lines = _document_ai(spark, d).select("page_id", F.explode(F.col("data.blocks")[0]["lines"]).alias("l"))
+    lines = unfold(_document_ai(spark, d), ["page_id"], F.col("data.blocks")[0]["lines"], "l")
     w = lines.select("page_id", F.col("l.order").alias("line"), F.explode("l.words").alias("w"))
     box = lambda k: F.round(F.col("w.bbox")[k], 4)
     return w.select("page_id", "line", F.col("w.order").alias("pos"), "w.text", box(0).alias("x0"), box(1).alias("y0"), box(2).alias("x1"), box(3).alias("y1"), r6("w.confidence").alias("confidence"))

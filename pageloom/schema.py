@@ -38,7 +38,7 @@ def unfold(rows: DataFrame, keep: list[str], items: F.Column, *names: str) -> Da
 def page_words(pages: DataFrame, data: str = "data") -> DataFrame:
     """One row per word of each page, in reading order: the other columns, then word_pos, block_index, line_index, word."""
     keys = [c for c in pages.columns if c != data]
-    blocks = pages.select(*keys, F.posexplode(F.col(f"{data}.blocks")).alias("block_index", "_b"))
+    blocks = unfold(pages, keys, F.col(f"{data}.blocks"), "block_index", "_b")
     lines = blocks.select(*keys, "block_index", F.posexplode("_b.lines").alias("line_index", "_l"))
     # The position within the page comes from the nesting, so no row is sorted or shuffled.
     words = lines.select(*keys, "block_index", "line_index", F.posexplode("_l.words").alias("word_in_line", "word"))

@@ -174,8 +174,8 @@ def layout_box(layout: Column, width: Column, height: Column) -> Column:
     n, v = layout["bounding_poly"]["normalized_vertices"], layout["bounding_poly"]["vertices"]
 
     def around(a: Column, w: Column, h: Column) -> Column:
-        xs, ys = F.transform(a, lambda p: F.coalesce(p["x"], F.lit(0.0))), F.transform(a, lambda p: F.coalesce(p["y"], F.lit(0.0)))
-        return _box(F.array_min(xs) * w, F.array_min(ys) * h, F.array_max(xs) * w, F.array_max(ys) * h)
+        ps = F.struct(F.transform(a, lambda p: F.coalesce(p["x"], F.lit(0.0))).alias("x"), F.transform(a, lambda p: F.coalesce(p["y"], F.lit(0.0))).alias("y"))
+        return bind(ps, lambda v: _box(F.array_min(v["x"]) * w, F.array_min(v["y"]) * h, F.array_max(v["x"]) * w, F.array_max(v["y"]) * h))
 
     some = lambda a: F.coalesce(F.size(a), F.lit(0)) > 0
     return F.when(some(n), around(n, width, height)).when(some(v), around(v, F.lit(1.0), F.lit(1.0))).otherwise(_box(*[F.lit(0.0)] * 4))
@@ -191,23 +191,26 @@ def document_ai(raw: DataFrame, document: str = "document") -> DataFrame:
 
     def elements(kind: str) -> Column:
         e = F.coalesce(p[kind], F.array().cast(ELEMENT))
-        return F.transform(e, lambda x: F.struct(anchor_range(x["layout"]).alias("r"), anchor_text(text, x["layout"]).alias("text"), layout_box(x["layout"], width, height).alias("bbox"), F.coalesce(x["layout"]["confidence"], F.lit(0.0)).alias("confidence")))
+        one = lambda l: F.struct(anchor_range(l).alias("r"), anchor_text(text, l).alias("text"), layout_box(l, width, height).alias("bbox"), F.coalesce(l["confidence"], F.lit(0.0)).alias("confidence"))
+        return F.transform(e, lambda x: bind(x["layout"], one))
 
-    for k in ("paragraphs", "lines", "tokens", "symbols"):
-        pages = pages.withColumn(f"_{k}", elements(k))
-
-    def within(kind: str, parent: Column) -> Column:
+    def within(children: Column, parent: Column) -> Column:
         r = parent["r"]
-        return F.filter(F.col(f"_{kind}"), lambda c: ((r["s"] == 0) & (r["e"] == 0)) | ((c["r"]["s"] >= r["s"]) & (c["r"]["e"] <= r["e"])))
+        return F.filter(children, lambda c: ((r["s"] == 0) & (r["e"] == 0)) | ((c["r"]["s"] >= r["s"]) & (c["r"]["e"] <= r["e"])))
 
-    def word(t: Column, i: Column) -> Column:
-        own = F.transform(within("symbols", t), lambda s, k: F.struct(F.trim(s["text"]).alias("char"), s["bbox"].alias("bbox"), s["confidence"].alias("confidence"), k.alias("order")).cast(CHAR))
+    def word(t: Column, i: Column, symbols: Column) -> Column:
+        own = F.transform(within(symbols, t), lambda s, k: F.struct(F.trim(s["text"]).alias("char"), s["bbox"].alias("bbox"), s["confidence"].alias("confidence"), k.alias("order")).cast(CHAR))
         plain = F.trim(t["text"])
-        return word_of(plain, t["bbox"], t["confidence"], i, F.when(F.size(own) > 0, own).otherwise(even_chars(plain, t["bbox"], t["confidence"])))
+        return word_of(plain, t["bbox"], t["confidence"], i, bind(own, lambda v: F.when(F.size(v) > 0, v).otherwise(even_chars(plain, t["bbox"], t["confidence"]))))
 
-    line = lambda l, i: F.struct(F.trim(l["text"]).alias("text"), l["bbox"].alias("bbox"), l["confidence"].alias("confidence"), i.alias("order"), F.transform(within("tokens", l), word).alias("words")).cast(LINE)
     block = lambda b, i, ls: F.struct(F.lit("text").alias("type"), b["bbox"].alias("bbox"), b["confidence"].alias("confidence"), i.alias("order"), ls.alias("lines")).cast(BLOCK)
-    blocks = F.when(F.size("_paragraphs") > 0, F.transform("_paragraphs", lambda b, i: block(b, i, F.transform(within("lines", b), line)))).otherwise(F.transform("_lines", lambda l, i: block(l, i, F.array(line(l, F.lit(0))))))
+
+    def blocks_of(v: Column) -> Column:
+        line = lambda l, i: F.struct(F.trim(l["text"]).alias("text"), l["bbox"].alias("bbox"), l["confidence"].alias("confidence"), i.alias("order"), F.transform(within(v["tokens"], l), lambda t, k: word(t, k, v["symbols"])).alias("words")).cast(LINE)
+        return F.when(F.size(v["paragraphs"]) > 0, F.transform(v["paragraphs"], lambda b, i: block(b, i, F.transform(within(v["lines"], b), line)))).otherwise(F.transform(v["lines"], lambda l, i: block(l, i, F.array(line(l, F.lit(0))))))
+
+    # Bound, as columns of their own are put back into the lambdas that name them and worked out for each parent again.
+    blocks = bind(F.struct(*(elements(k).alias(k) for k in ("paragraphs", "lines", "tokens", "symbols"))), blocks_of)
 
     def rows(t: Column) -> Column:
         kind = f"array<struct<cells:array<{AI_CELL}>>>"
@@ -339,8 +342,6 @@ def even_lines(lines: Column, box: Column) -> Column:
     return F.filter(bind(F.struct(lines.alias("ls"), box.alias("b")), make), lambda l: l["text"] != "")
 
 
-def markdown_blocks(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
-    """Blocks of markdown: keys, block (from 0), type (heading, text, code), level, lines. Headings stand alone; blank lines and
 def split_markdown(text: Column) -> Column:
     """The blocks of a markdown text as an array of type, level, lines; see markdown_blocks."""
     # A fence is a line that begins with three backticks; what lies between two of them is code. Every part but the first begins with
@@ -369,6 +370,8 @@ def split_markdown(text: Column) -> Column:
     return F.flatten(F.transform(parts, blocks))
 
 
+def markdown_blocks(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
+    """Blocks of markdown: keys, block (from 0), type (heading, text, code), level, lines. Headings stand alone; blank lines and
     fences end a block, except that blank lines within a fence belong to it. A page stays in its row."""
     return pages.select(*keys, F.posexplode_outer(split_markdown(F.col(text))).alias("block", "_b")).where(F.col("_b").isNotNull()).select(*keys, "block", "_b.*")
 
@@ -378,8 +381,6 @@ def _number(pages: DataFrame) -> Column:
     return F.coalesce(F.col("page_number").cast("int"), F.lit(1)) if "page_number" in pages.columns else F.lit(1)
 
 
-def vlm_markdown(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
-    """pages: keys, width, height, text, and page_number if there is more than one page. Adds data (a page without blocks for an empty text)."""
 def _markdown_page(pages: DataFrame, text: str) -> Column:
     width, height = F.col("width"), F.col("height")
     spread = lambda bs: F.transform(bs, lambda b, i: even_lines(b["lines"], slice_box(i, F.size(bs), width, height)))
@@ -387,6 +388,8 @@ def _markdown_page(pages: DataFrame, text: str) -> Column:
     return page_of(_number(pages), width, height, blocks)
 
 
+def vlm_markdown(pages: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
+    """pages: keys, width, height, text, and page_number if there is more than one page. Adds data (a page without blocks for an empty text)."""
     return pages.withColumn("data", _markdown_page(pages, text))
 
 

@@ -94,3 +94,11 @@ def test_markdown_by_lines(spark):
 def test_broken_pages_are_made_once(spark):
     plan, _ = plans(spark, "page_violations")
     assert not made_again(plan) and len(plan) < 30_000
+
+
+@tables
+@pytest.mark.parametrize("name", ["overlay_chars", "document_ai_words", "run_totals"])
+def test_document_ai_pages_are_made_once(spark, name):
+    plan, _ = plans(spark, name)
+    # Elements of a page are worked out before the lambdas over their parents, which name them.
+    assert not made_again(plan) and plan.count("anchor") < 150 and "_tokens" not in plan and len(plan) < 60_000
