@@ -252,8 +252,9 @@ def local_pairs(pairs: DataFrame, match: float = 2.0, mismatch: float = -1.0, ga
 def run_totals(pages: DataFrame, seconds: DataFrame | None = None, data: str = "data") -> DataFrame:
     """Of each run (pages: run_id and data): pages, characters of its text blocks, and with `seconds` (run_id, seconds) seconds a page."""
     blocks = F.filter(F.col(f"{data}.blocks"), lambda b: (b["type"] == "text") & b["lines"].isNotNull())
-    words = F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(b["lines"], lambda l: l["words"]))))
-    n = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.length(w["text"]), F.lit(0)))
+    # Sums within sums: lists of words would be copied, characters included.
+    total = lambda items, each: F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + each(x))
+    n = total(blocks, lambda b: total(b["lines"], lambda l: total(l["words"], lambda w: F.coalesce(F.length(w["text"]), F.lit(0)))))
     out = pages.groupBy("run_id").agg(F.count("*").alias("pages"), F.sum(F.coalesce(n, F.lit(0).cast("long"))).alias("characters"))
     return out if seconds is None else out.join(seconds, "run_id", "left").withColumn("seconds_a_page", F.col("seconds") / F.greatest("pages", F.lit(1)))
 
