@@ -19,7 +19,7 @@ def project(readings: DataFrame, *keys: str) -> DataFrame:
     """Every engine's words at the positions of the reference engine's words.
 
     readings: keys, engine, engine_rank (0: the reference; explicit, as the result depends on it), words (array of text,
-    confidence, bbox). Returns keys, engine, engine_rank, position (null: an insertion, which has no place), word (null: a gap).
+    confidence, bbox: decides between alignments that are as good by text). Returns keys, engine, engine_rank, position (null: an insertion, which has no place), word (null: a gap).
     """
     slim = readings.select(*keys, "engine", "engine_rank", F.col("words").cast(f"array<{WORD}>").alias("words"))
     first = slim.where("engine_rank = 0").select(*keys, F.col("words").alias("ref"))
@@ -36,7 +36,8 @@ def project(readings: DataFrame, *keys: str) -> DataFrame:
                 if rank == 0:
                     out.append([{"position": i, "word": w} for i, w in enumerate(ref)])
                     continue
-                path, _ = align.align([w["text"] for w in ref], [w["text"] for w in own]) if ref else ([], 0.0)
+                # Of equal words in a row any can be the one that is missing: boxes tell which, where there are some.
+                path, _ = align.align([w["text"] for w in ref], [w["text"] for w in own], near=align.overlaps(ref, own)) if ref else ([], 0.0)
                 out.append([{"position": i, "word": None if j is None else own[j]} for i, j in path])
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(out, pa.list_(pa.struct([("position", pa.int32()), ("word", word)])))], [*names, "_g"])
 

@@ -117,16 +117,16 @@ def error_bands(spark, d):
     return readings(spark, d).groupBy("engine", band.alias("band")).agg(F.count("*").alias("pages"))
 
 
-# Five engines at one position. Words that are dropped leave gaps, repeated ones stand nowhere; both leave one best alignment,
-# as all else is equal to the reference. Confidences are such that the three rules of voting differ from one another.
+# Five engines at one position. Words that are dropped leave gaps, repeated ones stand nowhere; boxes, the same for all engines,
+# tell which of two equal words in a row is gone. Confidences are such that the three rules of voting differ from one another.
 
 
 def _grid(spark, d):
-    def word(w, c):
-        return F.struct(w.alias("text"), c.cast("double").alias("confidence"), F.lit(None).cast("array<double>").alias("bbox"))
+    def word(w, c, i):
+        return F.struct(w.alias("text"), c.cast("double").alias("confidence"), F.array(i * 10.0, F.lit(0.0), i * 10.0 + 9, F.lit(12.0)).alias("bbox"))
 
     def words(c, sure):
-        return F.transform(F.split(c, " "), lambda w, i: word(w, sure(i)))
+        return F.transform(F.split(c, " "), lambda w, i: word(w, sure(i), i))
 
     exact, other = F.col("ref"), engines.misread(F.col("ref"))
     made = [

@@ -102,3 +102,20 @@ def test_document_ai_pages_are_made_once(spark, name):
     plan, _ = plans(spark, name)
     # Elements of a page are worked out before the lambdas over their parents, which name them.
     assert not made_again(plan) and plan.count("anchor") < 150 and "_tokens" not in plan and len(plan) < 60_000
+
+
+def test_boxes_tell_which_of_equal_words_is_missing(spark):
+    from pyspark.sql import functions as F
+
+    from pageloom.operators import consensus
+
+    words = "a the the the b the the".split()
+    box = lambda i: [i * 10.0, 0.0, i * 10.0 + 9, 12.0]
+    kind = f"array<{consensus.WORD}>"
+    for gone in range(len(words)):
+        for boxed in (True, False):
+            all_ = [(w, 0.9, box(i) if boxed else None) for i, w in enumerate(words)]
+            rows = spark.createDataFrame([(1, "x", 0, all_), (1, "y", 1, all_[:gone] + all_[gone + 1 :])], f"k int, engine string, engine_rank int, words {kind}")
+            got = consensus.project(rows, "k").where("engine = 'y' AND word IS NULL").select("position").collect()
+            want = gone if boxed else min(i for i in range(len(words)) if words[:i] + words[i + 1 :] == words[:gone] + words[gone + 1 :])
+            assert [r[0] for r in got] == [want]
