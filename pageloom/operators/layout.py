@@ -36,10 +36,12 @@ def blocks(pages: DataFrame, *keys: str, overlap: float = 0.3, factor: float = 1
 
 def line_islands(words: DataFrame, *keys: str, gap: float = 15.0) -> DataFrame:
     """Adds `line`: words from top to bottom begin a new line where their middle lies more than `gap` below the one before."""
-    middle = (F.col("bbox")[1] + F.col("bbox")[3]) / 2
-    w = W.partitionBy(*keys).orderBy(middle, F.col("bbox")[0])
-    new = F.coalesce((middle - F.lag(middle).over(w) > gap).cast("int"), F.lit(0))
-    return words.withColumn("_n", new).withColumn("line", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_n")
+    # Both windows go by columns, as only then one sort serves both: another could put words of one place in another order, and
+    # a word of theirs before the one that begins the line.
+    rows = words.withColumns({"_m": (F.col("bbox")[1] + F.col("bbox")[3]) / 2, "_x": F.col("bbox")[0]})
+    w = W.partitionBy(*keys).orderBy("_m", "_x")
+    new = F.coalesce((F.col("_m") - F.lag("_m").over(w) > gap).cast("int"), F.lit(0))
+    return rows.withColumn("_n", new).withColumn("line", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_n", "_m", "_x")
 
 
 def line_agreement(words: DataFrame, *keys: str) -> DataFrame:

@@ -119,3 +119,10 @@ def test_boxes_tell_which_of_equal_words_is_missing(spark):
             got = consensus.project(rows, "k").where("engine = 'y' AND word IS NULL").select("position").collect()
             want = gone if boxed else min(i for i in range(len(words)) if words[:i] + words[i + 1 :] == words[:gone] + words[gone + 1 :])
             assert [r[0] for r in got] == [want]
+
+
+@tables
+def test_lines_go_by_one_sort(spark):
+    """A second sort may put words of one place in another order than the first, on which beginnings of lines rest."""
+    _, run = plans(spark, "text_lines")
+    assert run.count(" Sort [") == 1
