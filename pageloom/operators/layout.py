@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grids
 from ..functions import layout as kernel
+from ..functions.nested import plain
 
 WORDS = "array<struct<text:string,bbox:array<double>,confidence:double>>"
 _word = pa.struct([("text", pa.string()), ("bbox", pa.list_(pa.float64())), ("confidence", pa.float64())])
@@ -25,7 +26,7 @@ def blocks(pages: DataFrame, *keys: str, overlap: float = 0.3, factor: float = 1
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for ws, width, height in zip(b["words"].to_pylist(), b["width"].to_pylist(), b["height"].to_pylist(), strict=True):
+            for ws, width, height in zip(plain(b["words"]), b["width"].to_pylist(), b["height"].to_pylist(), strict=True):
                 usable = [w | {"confidence": w["confidence"] if w["confidence"] is not None else 1.0, "text": w["text"] or ""} for w in ws or [] if w and w["bbox"] and len(w["bbox"]) == 4]
                 out.append(kernel.reading_order(kernel.blocks_of(usable, width or 1.0, height or 1.0, overlap, factor), width or 1.0))
             yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), pa.array(out, pa.list_(_block))], [*keys, "_b"])
@@ -74,7 +75,7 @@ def tree_order(pages: DataFrame, *keys: str) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for ws in b["words"].to_pylist():
+            for ws in plain(b["words"]):
                 usable = [w for w in ws or [] if w and w["bbox"] and len(w["bbox"]) == 4]
                 order = kernel.tree_order([((w["bbox"][0] + w["bbox"][2]) / 2, (w["bbox"][1] + w["bbox"][3]) / 2) for w in usable])
                 out.append([usable[i] for i in order])
@@ -96,7 +97,7 @@ def table_metrics(pages: DataFrame, *keys: str, similarity: Callable[[str, str],
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [grids.page(p or [], t or [], similarity=similarity) for p, t in zip(b["pred_tables"].to_pylist(), b["gt_tables"].to_pylist(), strict=True)]
+            got = [grids.page(p or [], t or [], similarity=similarity) for p, t in zip(plain(b["pred_tables"]), plain(b["gt_tables"]), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), *(pa.array([g[m] for g in got], pa.float64()) for m in METRICS)], [*keys, *METRICS])
 
     return pages.select(*keys, F.col("pred_tables").cast(TABLES).alias("pred_tables"), F.col("gt_tables").cast(TABLES).alias("gt_tables")).mapInArrow(run, schema)

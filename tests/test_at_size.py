@@ -126,3 +126,26 @@ def test_lines_go_by_one_sort(spark):
     """A second sort may put words of one place in another order than the first, on which beginnings of lines rest."""
     _, run = plans(spark, "text_lines")
     assert run.count(" Sort [") == 1
+
+
+def _both_ways(monkeypatch, kernel, run):
+    """With plain numbers, and with arrays."""
+    few = run()
+    monkeypatch.setattr(kernel, "FEW", 0)
+    return few, run()
+
+
+def test_small_pages_without_arrays(monkeypatch):
+    import random
+
+    from pageloom.functions import layout
+
+    r = random.Random(1)
+
+    def page(n):
+        corners = [(r.randrange(-20, 650), r.randrange(-5, 800)) for _ in range(n)]
+        return [{"text": str(i), "bbox": [x, y, x + r.choice([0, 5, 20.5, -3]), y + r.choice([0, 12, 400, -1])], "confidence": 1.0} for i, (x, y) in enumerate(corners)]
+
+    pages = [page(r.randint(0, 12)) for _ in range(200)]
+    a, b = _both_ways(monkeypatch, layout, lambda: [(layout.reading_order(layout.blocks_of(p, 612.0, 792.0), 612.0), layout.separators(p, 100.0)) for p in pages])
+    assert a == b
