@@ -149,3 +149,26 @@ def test_small_pages_without_arrays(monkeypatch):
     pages = [page(r.randint(0, 12)) for _ in range(200)]
     a, b = _both_ways(monkeypatch, layout, lambda: [(layout.reading_order(layout.blocks_of(p, 612.0, 792.0), 612.0), layout.separators(p, 100.0)) for p in pages])
     assert a == b
+
+
+def test_small_tables_without_arrays(monkeypatch):
+    import random
+
+    from pageloom.functions import grids
+
+    r = random.Random(2)
+    cell = lambda: {"row": r.randint(0, 5), "col": r.randint(0, 4), "row_span": r.choice([None, 1, 2]), "col_span": 1, "text": r.choice([None, "", "ab", "abc", "xyz 12"]), "bbox": [0.0, 0.0, r.random(), 1.0]}
+    tables_ = [([cell() for _ in range(r.randint(0, 9))], [cell() for _ in range(r.randint(0, 9))]) for _ in range(200)]
+    a, b = _both_ways(monkeypatch, grids, lambda: [grids.compare(p, t) for p, t in tables_])
+    assert a == b
+
+
+def test_nested_arrays_as_objects():
+    import pyarrow as pa
+
+    from pageloom.functions.nested import plain
+
+    kind = pa.list_(pa.struct([("t", pa.string()), ("b", pa.list_(pa.float64())), ("i", pa.int32())]))
+    rows = [[{"t": "é", "b": [1.0, None], "i": 3}, None], None, [], [{"t": None, "b": None, "i": None}], [{"t": "x", "b": [], "i": 1}]]
+    a = pa.array(rows, kind)
+    assert plain(a) == rows and plain(a.slice(1, 3)) == rows[1:4]
