@@ -172,3 +172,11 @@ def test_nested_arrays_as_objects():
     rows = [[{"t": "é", "b": [1.0, None], "i": 3}, None], None, [], [{"t": None, "b": None, "i": None}], [{"t": "x", "b": [], "i": 1}]]
     a = pa.array(rows, kind)
     assert plain(a) == rows and plain(a.slice(1, 3)) == rows[1:4]
+
+
+@tables
+def test_run_metrics_are_dealt_without_maps(spark):
+    _, run = plans(spark, "engine_rankings")
+    # Nothing is sorted or grouped before the exchange by run.
+    below = run[run.index("REPARTITION_BY_COL") :]
+    assert "Aggregate" not in below.split("FileScan")[0] and "Sort [" not in below.split("FileScan")[0]
