@@ -7,6 +7,8 @@ import pyarrow as pa
 
 def plain(a: pa.Array) -> list:
     """What a.to_pylist() returns."""
+    if not len(a):
+        return []  # Spark sends no offsets for it
     if pa.types.is_list(a.type):
         at = a.offsets.to_numpy().tolist()
         items = plain(a.values.slice(at[0], at[-1] - at[0]))

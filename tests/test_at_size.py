@@ -172,6 +172,8 @@ def test_nested_arrays_as_objects():
     rows = [[{"t": "é", "b": [1.0, None], "i": 3}, None], None, [], [{"t": None, "b": None, "i": None}], [{"t": "x", "b": [], "i": 1}]]
     a = pa.array(rows, kind)
     assert plain(a) == rows and plain(a.slice(1, 3)) == rows[1:4]
+    empty = pa.Array.from_buffers(pa.list_(pa.float64()), 0, [None, pa.py_buffer(b"")], children=[pa.array([], pa.float64())])
+    assert plain(empty) == []
 
 
 @tables
